@@ -40,15 +40,17 @@ def pick_encoding(spark: SparkSession, path: str) -> str:
 
 
 def read_delimited(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
-    """All-text CSV with header; rows with too many fields are skipped."""
-    return (
-        spark.read.option("sep", sep)
-        .option("header", True)
-        .option("encoding", pick_encoding(spark, path))
-        .option("mode", "DROPMALFORMED")
-        .option("enforceSchema", False)
-        .csv(path)
+    """All-text CSV with header.
+
+    Short rows are padded with NULL; rows with more fields than the header are
+    skipped (they show up in the surplus column).
+    """
+    reader = spark.read.option("sep", sep).option("header", True).option(
+        "encoding", pick_encoding(spark, path)
     )
+    names = reader.csv(path).columns
+    fields = ", ".join(f"`{n}` string" for n in [*names, "_surplus"])
+    return reader.schema(fields).csv(path).where(F.col("_surplus").isNull()).drop("_surplus")
 
 
 def _padded(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
