@@ -22,6 +22,7 @@ from habitatrix.session import lookup
 
 #: Grid cells around sampled sites: four numbers per row.
 _CELL_ROWS = 2_000_000
+_REPEAT_BLOCK = 10_000
 _SPOT = ["site_e", "site_n"]
 _OWNER = ["run", "focal"]
 
@@ -328,14 +329,28 @@ def total_target_obs(found: DataFrame) -> DataFrame:
     return found.select(*_OWNER, "focal_obs", "n_assoc", "n_red")
 
 
-def all_observations(kept: DataFrame) -> DataFrame:
+def all_observations(contacts: DataFrame, sites: DataFrame, kept: DataFrame) -> DataFrame:
     """Kept ids with duplicates, one row per hit.
 
-    Rows, not one list per species: a single list would hold every hit of a
-    common species in one task.
+    Rows, not one list per species: a list would hold every hit of a common
+    species in one task.  Repetition starts from (position, taxon) counts and is
+    spread in blocks, so a dominant taxon is written by many tasks.
     """
-    return kept.select(
-        *_OWNER, "taxon", F.explode(F.sequence(F.lit(1), F.col("n_hits"))).alias("copy")
+    block = F.lit(_REPEAT_BLOCK)
+    counted = (
+        contacts.groupBy(*_SPOT, "taxon")
+        .agg(F.sum("n").alias("n"))
+        .join(lookup(site_owners(sites)), _SPOT, "inner")
+        .join(lookup(kept.select(*_OWNER, "taxon")), [*_OWNER, "taxon"], "left_semi")
+        .select(*_OWNER, "taxon", (F.col("n") * F.col("sites_here")).alias("n"))
+    )
+    n_tasks = int(contacts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = counted.withColumn(
+        "first", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"), block))
+    ).repartition(n_tasks)
+    last = F.least(F.col("first") + block - 1, F.col("n"))
+    return blocks.withColumn("copy", F.explode(F.sequence("first", last))).select(
+        *_OWNER, "taxon"
     )
 
 
