@@ -137,8 +137,9 @@ def in_buffer(de: Column, dn: Column, radius: float, shape: str = "polygon64") -
     angle = F.pmod(F.atan2(dn, de), F.lit(2 * math.pi))
     off = angle - F.floor(angle / F.lit(step)).cast("double") * F.lit(step)
     reach = F.hypot(de, dn) * F.cos(off - F.lit(step / 2))
-    # the cheap disc test first: trigonometry only runs for true candidates
-    return disc & (reach <= F.lit(radius * math.cos(step / 2)))
+    # the cheap disc test first: trigonometry only runs for true candidates; the
+    # nanometre keeps vertices inside whatever the last bit of the cosine is
+    return disc & (reach <= F.lit(radius * math.cos(step / 2) + 1e-9))
 
 
 def grid_cell(c: Column, size: float) -> Column:

@@ -4,7 +4,7 @@ Frames used here:
 
 * points    ``focal, vern, taxon, LocalityKey, row_key, E, N``
 * sites     ``run, focal, fid, LocalityKey, E, N``  (at most 350 per run and focal)
-* contacts  ``site_e, site_n, taxon, LocalityKey, is_red, E, N, n``
+* contacts  ``site_e, site_n, taxon, LocalityKey, is_red, E, N, records``
 
 Contacts are keyed by site *position*: all sites at one spot (of any run or
 species) share their rows, and equal observations are counted, not repeated.
@@ -247,7 +247,7 @@ def site_contacts(
         )
         .join(lookup(cells.select("cx", "cy").distinct(), _CELL_ROWS), ["cx", "cy"], "left_semi")
         .groupBy("taxon", "LocalityKey", "E", "N", "cx", "cy")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.count(F.lit(1)).alias("records"))
     )
     inside = geo.in_buffer(
         F.col("E") - F.col("site_e"), F.col("N") - F.col("site_n"), radius, shape
@@ -256,14 +256,14 @@ def site_contacts(
         mark_red(nearby, red_ids)
         .join(lookup(cells, _CELL_ROWS), ["cx", "cy"], "inner")
         .where(inside)
-        .select(*_SPOT, "taxon", "LocalityKey", "is_red", "E", "N", "n")
+        .select(*_SPOT, "taxon", "LocalityKey", "is_red", "E", "N", "records")
     )
 
 
 def buffer_hits(contacts: DataFrame, sites: DataFrame) -> DataFrame:
     """Counts per (site, taxon, locality): every (record, buffer) pair counts."""
     flat = contacts.groupBy(*_SPOT, "taxon", "LocalityKey", "is_red").agg(
-        F.sum("n").alias("n_hits")
+        F.sum("records").alias("n_hits")
     )
     placed = sites.select(
         *_OWNER, "fid", F.col("E").alias("site_e"), F.col("N").alias("site_n")
@@ -279,12 +279,12 @@ def taxon_hits(contacts: DataFrame, sites: DataFrame) -> DataFrame:
     at_spot = (
         contacts.where(F.col("taxon").isNotNull())
         .groupBy(*_SPOT, "taxon", "is_red")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("records").alias("records"))
     )
     return (
         at_spot.join(lookup(site_owners(sites)), _SPOT, "inner")
         .groupBy(*_OWNER, "taxon", "is_red")
-        .agg(F.sum(F.col("n") * F.col("sites_here")).alias("n_hits"))
+        .agg(F.sum(F.col("records") * F.col("sites_here")).alias("n_hits"))
     )
 
 
@@ -339,16 +339,16 @@ def all_observations(contacts: DataFrame, sites: DataFrame, kept: DataFrame) ->
     block = F.lit(_REPEAT_BLOCK)
     counted = (
         contacts.groupBy(*_SPOT, "taxon")
-        .agg(F.sum("n").alias("n"))
+        .agg(F.sum("records").alias("records"))
         .join(lookup(site_owners(sites)), _SPOT, "inner")
         .join(lookup(kept.select(*_OWNER, "taxon")), [*_OWNER, "taxon"], "left_semi")
-        .select(*_OWNER, "taxon", (F.col("n") * F.col("sites_here")).alias("n"))
+        .select(*_OWNER, "taxon", (F.col("records") * F.col("sites_here")).alias("copies"))
     )
     n_tasks = int(contacts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = counted.withColumn(
-        "first", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("n"), block))
+        "first", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"), block))
     ).repartition(n_tasks)
-    last = F.least(F.col("first") + block - 1, F.col("n"))
+    last = F.least(F.col("first") + block - 1, F.col("copies"))
     return blocks.withColumn("copy", F.explode(F.sequence("first", last))).select(
         *_OWNER, "taxon"
     )
@@ -406,7 +406,7 @@ def locality_species_red(contacts: DataFrame, sites: DataFrame) -> DataFrame:
             "taxon",
             "E",
             "N",
-            (F.col("n") * F.col("sites_here")).alias("w"),
+            (F.col("records") * F.col("sites_here")).alias("w"),
         )
         .groupBy(*_OWNER, "LocalityID", "taxon", "E", "N")
         .agg(F.sum("w").alias("w"))
