@@ -465,17 +465,10 @@ FROM (SELECT focal, part, row_key, CASE WHEN row_key NOT LIKE '1%' THEN vernacul
         """SELECT round(MIN(lon)-0.05e0,6) AS lon_min, round(MIN(lat)-0.05e0,6) AS lat_min, round(MAX(lon)+0.05e0,6) AS lon_max, round(MAX(lat)+0.05e0,6) AS lat_max FROM inv""",
     )
     site_inv = _inverse("N", "E", "sites", "run, focal, fid")
-    occ_inv = {
-        f"o_{k}": v.replace("inv0", "o_inv0").replace("inv1", "o_inv1").replace("inv2", "o_inv2")
-        for k, v in _inverse(
-            "(N*10-59220000e0)", "(E*10-4500000e0)", "occ", "scientificName"
-        ).items()
-        if k.startswith("inv")
-    }
     out["near_buffers"] = _sql(
-        {**s2, **site_inv, **occ_inv},
-        """SELECT scientificName, COUNT(*) AS n FROM o_inv WHERE lat BETWEEN (SELECT MIN(lat)-0.05e0 FROM inv) AND (SELECT MAX(lat)+0.05e0 FROM inv)
- AND lon BETWEEN (SELECT MIN(lon)-0.05e0 FROM inv) AND (SELECT MAX(lon)+0.05e0 FROM inv) GROUP BY 1""",
+        {**s2, **site_inv},
+        """SELECT scientificName, COUNT(*) AS n FROM occ WHERE decimalLatitude BETWEEN (SELECT MIN(lat)-2e0 FROM inv) AND (SELECT MAX(lat)+2e0 FROM inv)
+ AND decimalLongitude BETWEEN (SELECT MIN(lon)-2e0 FROM inv) AND (SELECT MAX(lon)+2e0 FROM inv) GROUP BY 1""",
     )
     out["buffer_join"] = _sql(
         s2,

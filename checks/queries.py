@@ -166,7 +166,8 @@ def locality_key(v: Views) -> DataFrame:
         (F.lit(55.0) + (F.col("l_partkey") % 20000).cast("double") / 10000).alias("lat"),
         (F.lit(11.0) + (F.col("l_orderkey") % 20000).cast("double") / 10000).alias("lon"),
     )
-    key = text.locality_key(F.col("localityID"), F.col("locality"), F.col("lat"), F.col("lon"))
+    c = text.with_milli(c, {"lat": "lat_m", "lon": "lon_m"})
+    key = text.locality_key(F.col("localityID"), F.col("locality"), F.col("lat_m"), F.col("lon_m"))
     return c.select(key.alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -214,21 +215,19 @@ def lsa_j(v: Views) -> DataFrame:
 @query
 def project_tm(v: Views) -> DataFrame:
     spots = v.occ().select("decimalLatitude", "decimalLongitude").dropna().distinct()
-    north, east = geo.project(F.col("decimalLatitude"), F.col("decimalLongitude"))
-    return spots.select(
+    placed = geo.project(spots, "decimalLatitude", "decimalLongitude", "north", "east")
+    return placed.select(
         F.round("decimalLatitude", 3).alias("lat"),
         F.round("decimalLongitude", 3).alias("lon"),
-        F.round(north, 3).alias("north"),
-        F.round(east, 3).alias("east"),
+        F.round("north", 3).alias("north"),
+        F.round("east", 3).alias("east"),
     )
 
 
 @query
 def inverse_tm(v: Views) -> DataFrame:
-    lat, lon = geo.unproject(F.col("N"), F.col("E"))
-    return v.occ().select("E", "N").distinct().select(
-        "E", "N", F.round(lat, 8).alias("lat"), F.round(lon, 8).alias("lon")
-    )
+    spots = geo.unproject(v.occ().select("E", "N").distinct(), "N", "E", "lat", "lon")
+    return spots.select("E", "N", *r6("lat", "lon", digits=8))
 
 
 # -- lookup files -------------------------------------------------------------
@@ -431,11 +430,8 @@ def bbox_prefilter(v: Views) -> DataFrame:
 
 @query
 def near_buffers(v: Views) -> DataFrame:
-    """Records within the degree box of the sampled sites, by their position."""
-    occ = v.occ()
-    lat, lon = geo.unproject(F.col("N") * 10 - F.lit(59_220_000.0), F.col("E") * 10 - F.lit(4_500_000.0))
-    placed = occ.withColumns({"decimalLatitude": lat, "decimalLongitude": lon})
-    inside = A.near_buffers(placed, A.buffer_bounds(v.sites()))
+    """Records within two degrees of the sampled sites."""
+    inside = A.near_buffers(v.occ(), A.buffer_bounds(v.sites(), margin=2.0))
     return inside.groupBy("scientificName").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -98,28 +98,64 @@ def _series(xi: Column, eta: Column, coef: list[float], north: bool) -> Column:
     return out
 
 
-def project(lat: Column, lon: Column, grid: Grid = SWEREF99_TM) -> tuple[Column, Column]:
-    """Degrees to metres: ``(northing, easting)``."""
-    phi = F.radians(lat)
-    dl = F.radians(lon - F.lit(grid.lon0_deg))
-    conf = phi - _even_powers(phi, grid.conformal())
-    xi = F.atan2(F.tan(conf), F.cos(dl))
-    eta = F.atanh(F.cos(conf) * F.sin(dl))
-    north = F.lit(grid.radius) * (xi + _series(xi, eta, grid.forward(), True))
-    east = F.lit(grid.radius) * (eta + _series(xi, eta, grid.forward(), False))
-    return north + F.lit(grid.false_n), east + F.lit(grid.false_e)
+def project(
+    df: DataFrame, lat: str, lon: str, north: str, east: str, grid: Grid = SWEREF99_TM
+) -> DataFrame:
+    """Degrees to metres: adds the columns ``north`` and ``east``.
 
-
-def unproject(n: Column, e: Column, grid: Grid = SWEREF99_TM) -> tuple[Column, Column]:
-    """Metres to degrees: ``(latitude, longitude)``."""
-    xi0 = (n - F.lit(grid.false_n)) / F.lit(grid.radius)
-    eta0 = (e - F.lit(grid.false_e)) / F.lit(grid.radius)
-    xi = xi0 - _series(xi0, eta0, grid.backward(), True)
-    eta = eta0 - _series(xi0, eta0, grid.backward(), False)
-    conf = F.asin(F.sin(xi) / F.cosh(eta))
-    lat = F.degrees(conf + _even_powers(conf, grid.geodetic()))
-    lon = F.degrees(F.atan2(F.sinh(eta), F.cos(xi))) + F.lit(grid.lon0_deg)
-    return lat, lon
+    One projection per intermediate value: the planner keeps them apart because
+    each is used several times, so the generated code stays small.
+    """
+    kept = [c for c in df.columns if c not in (north, east)]
+    phi, dl, conf, xi, eta = (F.col(c) for c in ("_phi", "_dl", "_conf", "_xi", "_eta"))
+    staged = (
+        df.withColumns(
+            {"_phi": F.radians(lat), "_dl": F.radians(F.col(lon) - F.lit(grid.lon0_deg))}
+        )
+        .withColumn("_conf", phi - _even_powers(phi, grid.conformal()))
+        .withColumns(
+            {
+                "_xi": F.atan2(F.tan(conf), F.cos(dl)),
+                "_eta": F.atanh(F.cos(conf) * F.sin(dl)),
+            }
+        )
+    )
+    n = F.lit(grid.radius) * (xi + _series(xi, eta, grid.forward(), True))
+    e = F.lit(grid.radius) * (eta + _series(xi, eta, grid.forward(), False))
+    return staged.select(
+        *kept,
+        (n + F.lit(grid.false_n)).alias(north),
+        (e + F.lit(grid.false_e)).alias(east),
+    )
+
+
+def unproject(
+    df: DataFrame, north: str, east: str, lat: str, lon: str, grid: Grid = SWEREF99_TM
+) -> DataFrame:
+    """Metres to degrees: adds the columns ``lat`` and ``lon``."""
+    kept = [c for c in df.columns if c not in (lat, lon)]
+    xi0, eta0, xi, eta, conf = (F.col(c) for c in ("_xi0", "_eta0", "_xi", "_eta", "_conf"))
+    staged = (
+        df.withColumns(
+            {
+                "_xi0": (F.col(north) - F.lit(grid.false_n)) / F.lit(grid.radius),
+                "_eta0": (F.col(east) - F.lit(grid.false_e)) / F.lit(grid.radius),
+            }
+        )
+        .withColumns(
+            {
+                "_xi": xi0 - _series(xi0, eta0, grid.backward(), True),
+                "_eta": eta0 - _series(xi0, eta0, grid.backward(), False),
+            }
+        )
+        .withColumn("_conf", F.asin(F.sin(xi) / F.cosh(eta)))
+    )
+    turned = F.degrees(F.atan2(F.sinh(eta), F.cos(xi)))
+    return staged.select(
+        *kept,
+        F.degrees(conf + _even_powers(conf, grid.geodetic())).alias(lat),
+        (turned + F.lit(grid.lon0_deg)).alias(lon),
+    )
 
 
 def in_buffer(de: Column, dn: Column, radius: float, shape: str = "polygon64") -> Column:
@@ -143,4 +179,9 @@ def in_buffer(de: Column, dn: Column, radius: float, shape: str = "polygon64") -
 
 
 def grid_cell(c: Column, size: float) -> Column:
-    return F.floor(c / F.lit(float(size))).cast("bigint")
+    """Cell number; never NULL.
+
+    A nullable join key would make the planner push "is not null" down through
+    the projection and so evaluate its whole series a second time.
+    """
+    return F.coalesce(F.floor(c / F.lit(float(size))), F.lit(-(2**62))).cast("bigint")

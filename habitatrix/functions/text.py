@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed patterns and labels of the data contract.
@@ -53,36 +53,48 @@ def cell_key(lat_r: Column, lon_r: Column) -> Column:
     )
 
 
-def fixed3(c: Column) -> Column:
-    """Text with exactly three decimals, rounded on the exact binary value.
+def with_milli(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Add thousandths of a double as BIGINT, rounded on the exact binary value.
 
     ``format_string('%.3f')`` rounds the shortest decimal text and so moves ties
     the wrong way about half of the time.  Here ``value * 1000`` is split into a
-    rounded product and its exact error, which decides every tie correctly
+    rounded product and its exact error, which decides every tie (to even)
     without leaving the JVM.
     """
-    a = F.abs(c.cast("double"))
-    t = a * F.lit(134217729.0)
-    hi = t - (t - a)
-    lo = a - hi
-    p = a * F.lit(1000.0)
-    err = (hi * F.lit(1000.0) - p) + lo * F.lit(1000.0)
-    k = F.floor(p)
-    above = (p - k.cast("double") - F.lit(0.5)) + err
-    milli = k + F.when(above > 0, 1).when((above == 0) & (k % 2 == 1), 1).otherwise(0)
-    sign = F.when(c < 0, F.lit("-")).otherwise(F.lit(""))
-    whole = F.floor(milli / F.lit(1000)).cast("bigint").cast("string")
-    part = F.lpad((milli % 1000).cast("string"), 3, "0")
-    return F.concat(sign, whole, F.lit("."), part)
-
-
-def padded_cell_key(lat: Column, lon: Column) -> Column:
-    """``cell_<lat>_<lon>`` with three fixed decimals."""
-    return F.concat(F.lit("cell_"), fixed3(lat), F.lit("_"), fixed3(lon))
+    kept = df.columns
+    for source, out in columns.items():
+        c = F.col(source).cast("double")
+        a, hi, p = F.col("_a"), F.col("_hi"), F.col("_p")
+        k, over = F.col("_k"), F.col("_over")
+        split = a * F.lit(134217729.0)
+        err = (hi * F.lit(1000.0) - p) + (a - hi) * F.lit(1000.0)
+        up = F.when(over > 0, 1).when((over == 0) & (k % 2 == 1), 1).otherwise(0)
+        df = (
+            df.withColumn("_a", F.abs(c))
+            .withColumns({"_hi": split - (split - a), "_p": a * F.lit(1000.0)})
+            .withColumns({"_k": F.floor(p), "_over": (p - F.floor(p) - F.lit(0.5)) + err})
+            .withColumn(out, F.when(c < 0, -(k + up)).otherwise(k + up))
+            .select(*kept, out)
+        )
+        kept = [*kept, out]
+    return df
+
+
+def milli_text(m: Column) -> Column:
+    """``<whole>.<three digits>`` of thousandths."""
+    size = F.abs(m)
+    whole = F.floor(size / F.lit(1000)).cast("bigint").cast("string")
+    sign = F.when(m < 0, F.lit("-")).otherwise(F.lit(""))
+    return F.concat(sign, whole, F.lit("."), F.lpad((size % 1000).cast("string"), 3, "0"))
+
+
+def padded_cell_key(lat_milli: Column, lon_milli: Column) -> Column:
+    """``cell_<lat>_<lon>`` with three fixed decimals, from thousandths."""
+    return F.concat(F.lit("cell_"), milli_text(lat_milli), F.lit("_"), milli_text(lon_milli))
 
 
 def locality_key(
-    locality_id: Column | None, locality: Column | None, lat: Column, lon: Column
+    locality_id: Column | None, locality: Column | None, lat_milli: Column, lon_milli: Column
 ) -> Column:
     """Named locality if there is one, else the padded coordinate cell."""
     named = [
@@ -90,7 +102,7 @@ def locality_key(
         for c in (locality_id, locality)
         if c is not None
     ]
-    return F.coalesce(*named, padded_cell_key(lat, lon))
+    return F.coalesce(*named, padded_cell_key(lat_milli, lon_milli))
 
 
 def habitat_slug(c: Column) -> Column:

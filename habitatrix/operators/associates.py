@@ -45,9 +45,6 @@ def occurrence_points(occ: DataFrame) -> DataFrame:
     def optional(name: str) -> Column | None:
         return F.col(name) if name in occ.columns else None
 
-    lat = F.col("decimalLatitude").try_cast("double")
-    lon = F.col("decimalLongitude").try_cast("double")
-    north, east = geo.project(lat, lon)
     taxon = text.lsid_taxon(F.col("taxonID")) if "taxonID" in occ.columns else F.lit(None)
     name = optional("scientificName")
     if name is None:
@@ -56,16 +53,26 @@ def occurrence_points(occ: DataFrame) -> DataFrame:
     key = optional("occurrenceID")
     if key is None:
         key = F.concat_ws("|", *[F.col(c).cast("string") for c in sorted(occ.columns)])
-    return in_bbox(occ).select(
+    numeric = in_bbox(occ).withColumns(
+        {
+            "_lat": F.col("decimalLatitude").try_cast("double"),
+            "_lon": F.col("decimalLongitude").try_cast("double"),
+        }
+    )
+    placed = geo.project(
+        text.with_milli(numeric, {"_lat": "_lat_m", "_lon": "_lon_m"}), "_lat", "_lon", "N", "E"
+    )
+    where = text.locality_key(
+        optional("localityID"), optional("locality"), F.col("_lat_m"), F.col("_lon_m")
+    )
+    return placed.select(
         name.alias("focal"),
         (F.lit(None) if vern is None else vern).cast("string").alias("vern"),
         taxon.cast("string").alias("taxon"),
-        text.locality_key(optional("localityID"), optional("locality"), lat, lon).alias(
-            "LocalityKey"
-        ),
+        where.alias("LocalityKey"),
         key.cast("string").alias("row_key"),
-        east.alias("E"),
-        north.alias("N"),
+        "E",
+        "N",
     )
 
 
@@ -184,8 +191,7 @@ def buffer_bounds(
         )
     else:
         spots = sites
-    lat, lon = geo.unproject(F.col("N"), F.col("E"))
-    return spots.select(lat.alias("lat"), lon.alias("lon")).agg(
+    return geo.unproject(spots.select("E", "N"), "N", "E", "lat", "lon").agg(
         (F.min("lon") - margin).alias("lon_min"),
         (F.min("lat") - margin).alias("lat_min"),
         (F.max("lon") + margin).alias("lon_max"),
@@ -395,14 +401,17 @@ def locality_species_red(contacts: DataFrame, sites: DataFrame) -> DataFrame:
 
     Records without a usable key get the padded cell of their own position.
     """
-    lat, lon = geo.unproject(F.col("N"), F.col("E"))
     named = F.nullif(F.nullif(F.col("LocalityKey"), F.lit("")), F.lit("NA"))
+    located = text.with_milli(
+        geo.unproject(contacts.where(F.col("is_red")), "N", "E", "_lat", "_lon"),
+        {"_lat": "_lat_m", "_lon": "_lon_m"},
+    )
+    own_cell = text.padded_cell_key(F.col("_lat_m"), F.col("_lon_m"))
     rows = (
-        contacts.where(F.col("is_red"))
-        .join(lookup(site_owners(sites)), _SPOT, "inner")
+        located.join(lookup(site_owners(sites)), _SPOT, "inner")
         .select(
             *_OWNER,
-            F.coalesce(named, text.padded_cell_key(lat, lon)).alias("LocalityID"),
+            F.coalesce(named, own_cell, F.lit("")).alias("LocalityID"),
             "taxon",
             "E",
             "N",

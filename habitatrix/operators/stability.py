@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from habitatrix import config as C
 from habitatrix.functions import stats
 from habitatrix.operators.classes import with_class
+from habitatrix.session import materialize
 
 
 def observation_column(columns: list[str], preferred: str = "No_obs") -> str | None:
@@ -61,7 +62,9 @@ def stability_scores(runs: DataFrame, keys: list[str]) -> DataFrame:
 
 def stability_report(runs: DataFrame, keys: list[str]) -> DataFrame:
     """Scores plus class of the mean and the combined stability values."""
-    scored = with_class(stability_scores(runs, keys), "mean", "mean_class")
+    # one short row per focal species; written once, then read for limits and rows
+    scores = materialize(stability_scores(runs, keys), "scores")
+    scored = with_class(scores, "mean", "mean_class")
     score = (
         F.lit(0.50) * F.col("stability_pos")
         + F.lit(0.30) * F.col("stability_same_sign")

@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: so this stays well below the memory of one executor.
 BROADCAST_ROWS = 500_000
 
+#: Below this estimate no counting job is needed.
+BROADCAST_BYTES = 10 * 1024 * 1024
+
 _local_scratch: str | None = None
 
 
@@ -56,12 +59,19 @@ def drop_scratch(spark: SparkSession) -> None:
     path.getFileSystem(conf).delete(path, True)
 
 
+def _estimated_bytes(df: DataFrame) -> int:
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> bool:
+    """Small by the planner's size estimate, or else by a bounded count."""
+    if _estimated_bytes(df) <= BROADCAST_BYTES:
+        return True
     return df.limit(max_rows + 1).count() <= max_rows
 
 
 def lookup(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast if its counted size allows it.
+    """Mark ``df`` for broadcast if its size allows it.
 
     A larger table stays unhinted: the join then shuffles on its key and adaptive
     execution splits skewed partitions.

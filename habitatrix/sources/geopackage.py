@@ -165,20 +165,19 @@ def region_edges(rings: DataFrame, choice: str | None = None) -> DataFrame:
         picked = rings.where(F.lower(F.trim("label")) == F.lit(choice.strip().lower()))
         if picked.limit(1).count() == 0:
             raise ValueError(f"no polygon is labelled {choice!r}")
-    n1, e1 = geo.project(F.col("y1"), F.col("x1"))
-    n2, e2 = geo.project(F.col("y2"), F.col("x2"))
+    both = geo.project(geo.project(picked, "y1", "x1", "_n1", "_e1"), "y2", "x2", "_n2", "_e2")
     known = F.col("srs_id").isin(3006, 4326)
     degrees = F.col("srs_id") == 4326
 
     def metres(raw, projected):
         bad = F.raise_error(F.concat(F.lit("unsupported srs_id "), F.col("srs_id").cast("string")))
-        return F.when(~known, bad.cast("double")).when(degrees, projected).otherwise(F.col(raw))
+        return F.when(~known, bad.cast("double")).when(degrees, F.col(projected)).otherwise(F.col(raw))
 
-    return picked.select(
+    return both.select(
         F.concat_ws("/", "feature_id", "part").alias("poly_id"),
         F.lower(F.trim("label")).alias("label"),
-        metres("x1", e1).alias("x1"),
-        metres("y1", n1).alias("y1"),
-        metres("x2", e2).alias("x2"),
-        metres("y2", n2).alias("y2"),
+        metres("x1", "_e1").alias("x1"),
+        metres("y1", "_n1").alias("y1"),
+        metres("x2", "_e2").alias("x2"),
+        metres("y2", "_n2").alias("y2"),
     )
