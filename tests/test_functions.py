@@ -27,7 +27,7 @@ def test_taxon_ids(spark):
 
 def test_cell_keys(spark):
     df = spark.createDataFrame(
-        [(61.7, 16.16), (61.70049, 16.1605), (None, 1.0)], "lat double, lon double"
+        [(61.7, 16.16), (61.70049, 16.1606), (None, 1.0)], "lat double, lon double"
     )
     rounded = df.select(
         text.grid_round(F.col("lat"), 3).alias("a"), text.grid_round(F.col("lon"), 3).alias("o")
