@@ -93,16 +93,23 @@ def padded_cell_key(lat_milli: Column, lon_milli: Column) -> Column:
     return F.concat(F.lit("cell_"), milli_text(lat_milli), F.lit("_"), milli_text(lon_milli))
 
 
-def locality_key(
-    locality_id: Column | None, locality: Column | None, lat_milli: Column, lon_milli: Column
-) -> Column:
-    """Named locality if there is one, else the padded coordinate cell."""
+def named_locality(locality_id: Column | None, locality: Column | None) -> Column:
+    """First non-empty of locality id and locality text."""
     named = [
         F.nullif(c.cast("string"), F.lit(""))
         for c in (locality_id, locality)
         if c is not None
     ]
-    return F.coalesce(*named, padded_cell_key(lat_milli, lon_milli))
+    return F.coalesce(*named) if named else F.lit(None).cast("string")
+
+
+def locality_key(
+    locality_id: Column | None, locality: Column | None, lat_milli: Column, lon_milli: Column
+) -> Column:
+    """Named locality if there is one, else the padded coordinate cell."""
+    return F.coalesce(
+        named_locality(locality_id, locality), padded_cell_key(lat_milli, lon_milli)
+    )
 
 
 def habitat_slug(c: Column) -> Column:

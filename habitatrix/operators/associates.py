@@ -2,7 +2,8 @@
 
 Frames used here:
 
-* points    ``focal, vern, taxon, LocalityKey, row_key, E, N``
+* points    ``focal, vern, taxon, LocalityKey, row_key, E, N`` and, when read from
+  raw records, ``lat_m, lon_m`` for records without a named locality
 * sites     ``run, focal, fid, LocalityKey, E, N``  (at most 350 per run and focal)
 * contacts  ``site_e, site_n, taxon, LocalityKey, is_red, E, N, records``
 
@@ -39,43 +40,58 @@ def in_bbox(occ: DataFrame) -> DataFrame:
     )
 
 
-def occurrence_points(occ: DataFrame) -> DataFrame:
-    """Narrow, projected points of every usable record."""
+def occurrence_rows(occ: DataFrame) -> DataFrame:
+    """Narrow rows of every usable record, still in degrees.
+
+    Selecting focal species works on these rows, so only the records that a pass
+    needs are projected afterwards by ``to_points``.
+    """
 
     def optional(name: str) -> Column | None:
         return F.col(name) if name in occ.columns else None
 
+    def text_or_null(c: Column | None) -> Column:
+        return (F.lit(None) if c is None else c).cast("string")
+
     taxon = text.lsid_taxon(F.col("taxonID")) if "taxonID" in occ.columns else F.lit(None)
     name = optional("scientificName")
     if name is None:
         name = F.coalesce(taxon, F.lit("unknown"))
-    vern = optional("vernacularName")
     key = optional("occurrenceID")
     if key is None:
         key = F.concat_ws("|", *[F.col(c).cast("string") for c in sorted(occ.columns)])
-    numeric = in_bbox(occ).withColumns(
-        {
-            "_lat": F.col("decimalLatitude").try_cast("double"),
-            "_lon": F.col("decimalLongitude").try_cast("double"),
-        }
-    )
-    placed = geo.project(
-        text.with_milli(numeric, {"_lat": "_lat_m", "_lon": "_lon_m"}), "_lat", "_lon", "N", "E"
-    )
-    where = text.locality_key(
-        optional("localityID"), optional("locality"), F.col("_lat_m"), F.col("_lon_m")
-    )
-    return placed.select(
+    return in_bbox(occ).select(
         name.alias("focal"),
-        (F.lit(None) if vern is None else vern).cast("string").alias("vern"),
+        text_or_null(optional("vernacularName")).alias("vern"),
         taxon.cast("string").alias("taxon"),
-        where.alias("LocalityKey"),
+        text.named_locality(optional("localityID"), optional("locality")).alias("LocalityKey"),
         key.cast("string").alias("row_key"),
-        "E",
-        "N",
+        F.col("decimalLatitude").try_cast("double").alias("lat"),
+        F.col("decimalLongitude").try_cast("double").alias("lon"),
     )
 
 
+def to_points(rows: DataFrame) -> DataFrame:
+    """Add metres ``E``/``N`` and thousandths of a degree, drop the degrees."""
+    milli = text.with_milli(rows, {"lat": "lat_m", "lon": "lon_m"})
+    return geo.project(milli, "lat", "lon", "N", "E").drop("lat", "lon")
+
+
+def _cell_columns(points: DataFrame) -> list[str]:
+    return [c for c in ("lat_m", "lon_m") if c in points.columns]
+
+
+def _with_key(df: DataFrame) -> DataFrame:
+    """Fill a missing locality name with the padded cell.
+
+    The text is built late, for the few rows that survive the spatial join.
+    """
+    if not _cell_columns(df):
+        return df
+    cell = text.padded_cell_key(F.col("lat_m"), F.col("lon_m"))
+    return df.withColumn("LocalityKey", F.coalesce("LocalityKey", cell)).drop("lat_m", "lon_m")
+
+
 def mark_focal(points: DataFrame, selectors: DataFrame) -> DataFrame:
     """Add ``is_focal``: the id or the name is selected (NULL never is)."""
     ids = selectors.where(F.col("taxon_id").isNotNull()).select(
@@ -146,9 +162,9 @@ def sample_sites(
     each = focal.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
     keyed = each.withColumn("_draw", draw_key(seed, F.col("run"), F.col("row_key")))
     order = Window.partitionBy(*_OWNER).orderBy("_draw", "row_key", "E", "N")
+    first = keyed.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= size)
     return (
-        keyed.withColumn("_rn", F.row_number().over(order))
-        .where(F.col("_rn") <= size)
+        _with_key(first)
         .select(
             "run",
             "focal",
@@ -242,24 +258,22 @@ def site_contacts(
     3. an equi-join on the cell plus the exact predicate makes the pairs.
     """
     cells = site_cells(sites, radius)
+    same = ["taxon", "LocalityKey", *_cell_columns(associates), "E", "N"]
     nearby = (
         associates.select(
-            "taxon",
-            "LocalityKey",
-            "E",
-            "N",
+            *same,
             geo.grid_cell(F.col("E"), radius).alias("cx"),
             geo.grid_cell(F.col("N"), radius).alias("cy"),
         )
         .join(lookup(cells.select("cx", "cy").distinct(), _CELL_ROWS), ["cx", "cy"], "left_semi")
-        .groupBy("taxon", "LocalityKey", "E", "N", "cx", "cy")
+        .groupBy(*same, "cx", "cy")
         .agg(F.count(F.lit(1)).alias("records"))
     )
     inside = geo.in_buffer(
         F.col("E") - F.col("site_e"), F.col("N") - F.col("site_n"), radius, shape
     )
     return (
-        mark_red(nearby, red_ids)
+        mark_red(_with_key(nearby), red_ids)
         .join(lookup(cells, _CELL_ROWS), ["cx", "cy"], "inner")
         .where(inside)
         .select(*_SPOT, "taxon", "LocalityKey", "is_red", "E", "N", "records")

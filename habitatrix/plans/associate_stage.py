@@ -77,7 +77,7 @@ def build_from_occurrences(
     parquet reader can use to skip row groups.
     """
     sample_keys = ("seed", "runs", "sample")
-    focal = A.focal_points(A.mark_focal(A.occurrence_points(occ), selectors))
+    focal = A.to_points(A.focal_points(A.mark_focal(A.occurrence_rows(occ), selectors)))
     if edges is not None:
         focal = in_region(focal, edges)
     sampling = {k: options[k] for k in sample_keys if k in options}
@@ -91,7 +91,8 @@ def build_from_occurrences(
         "sites",
     )
     nearby = A.near_buffers(occ, A.buffer_bounds(sites, options.get("radius", C.BUFFER_M)))
-    others = A.associate_points(A.mark_focal(A.occurrence_points(nearby), selectors))
+    marked = A.mark_focal(A.occurrence_rows(nearby), selectors)
+    others = A.to_points(A.associate_points(marked))
     contacts = materialize(
         A.site_contacts(
             others,

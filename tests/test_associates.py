@@ -2,8 +2,6 @@ import math
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from habitatrix.operators import associates as A
 from habitatrix.operators.region import in_region
 from habitatrix.plans import associate_stage
@@ -121,7 +119,7 @@ def test_species_per_site(built, brute):
 def test_red_medians_and_repaired_keys(built, brute):
     import statistics
 
-    from habitatrix.functions import geo, text
+    from habitatrix.functions import geo
 
     spark = built.sites.sparkSession
     spots = sorted({(e, n) for *_, e, n, _ in brute})
@@ -141,7 +139,6 @@ def test_red_medians_and_repaired_keys(built, brute):
         assert r.ids == sorted({t for t, _, _ in rows})
         assert r.SWEREF_E == round(statistics.median(e for _, e, _ in rows))
         assert r.SWEREF_N == round(statistics.median(n for _, _, n in rows))
-    assert text is not None
 
 
 def test_result_ignores_partitioning(world, built):
@@ -200,6 +197,7 @@ def test_region_with_hole_overlap_and_edges(spark):
 def test_full_stage_from_raw_records(spark):
     """Raw degrees in, region applied to focal sites only, second pass pre-filtered."""
     from habitatrix.functions import geo
+    from habitatrix.session import materialize
 
     base = spark.createDataFrame(
         [
@@ -210,7 +208,9 @@ def test_full_stage_from_raw_records(spark):
         ],
         "occurrenceID string, taxonID string, scientificName string, E double, N double",
     )
-    occ = geo.unproject(base, "N", "E", "decimalLatitude", "decimalLongitude").drop("E", "N")
+    occ = materialize(
+        geo.unproject(base, "N", "E", "decimalLatitude", "decimalLongitude").drop("E", "N")
+    )
     square = [(499000.0, 6599000.0), (501000.0, 6599000.0), (501000.0, 6601000.0), (499000.0, 6601000.0)]
     edges = spark.createDataFrame(
         [("r", *a, *b) for a, b in zip(square, square[1:] + square[:1])],
@@ -218,8 +218,12 @@ def test_full_stage_from_raw_records(spark):
     )
     red = spark.createDataFrame([("5",)], "taxon_id string")
     selectors = spark.createDataFrame([(None, "Focal a")], "taxon_id string, name string")
-    found = associate_stage.build_from_occurrences(occ, selectors, red, edges).found.first()
+    built = associate_stage.build_from_occurrences(occ, selectors, red, edges)
+    found = built.found.first()
     assert (found.focal_obs, found.ids, found.red_ids) == (1, ["5", "6"], ["5"])
+    keys = {r.LocalityKey for r in built.contacts.collect()}
+    exact = {f"cell_{r.decimalLatitude:.3f}_{r.decimalLongitude:.3f}" for r in occ.collect()}
+    assert keys <= exact and len(keys) > 0
 
 
 def test_bounds_are_safe(spark):
@@ -233,4 +237,3 @@ def test_bounds_are_safe(spark):
     assert safe.lat_max >= 69.05 - 1e-6
     assert safe.lat_max == pytest.approx(69.05, abs=1e-6)
     assert not math.isclose(narrow.lat_min, safe.lat_min, abs_tol=1e-6)
-    assert F is not None
