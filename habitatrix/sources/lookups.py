@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,17 +24,8 @@ def _exists(spark: SparkSession, path: str) -> bool:
 
 
 def pick_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless some line does not decode; then Latin-1.
-
-    The check runs on the executors: a line with the replacement character that
-    UTF-8 decoding leaves behind is enough.
-    """
-    broken = (
-        spark.read.text(path)
-        .where(F.col("value").contains("�"))
-        .limit(1)
-        .count()
-    )
+    """UTF-8 unless some line is not valid UTF-8; then Latin-1."""
+    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
     return "ISO-8859-1" if broken else "UTF-8"
 
 
