@@ -114,7 +114,10 @@ def locality_core(
     Visits (locality, day) and taxa (locality, taxon) are aggregated separately
     and meet in one union + aggregation: no distinct-expansion and no join.
     """
-    visits = obs.groupBy(*_CELL, "date_s").agg(F.count(F.lit(1)).alias("n_records"))
+    # raw coordinates as keys: only records with half a coordinate split further
+    visits = obs.groupBy(*_CELL, "lat_r", "lon_r", "date_s").agg(
+        F.count(F.lit(1)).alias("n_records")
+    )
     if ias is None or n2k is None:
         taxa = _taxa(obs).select(
             *_CELL,
@@ -124,7 +127,8 @@ def locality_core(
     else:
         taxa = flagged_taxa(obs, ias, n2k).drop("taxon_id")
     zero = F.lit(0).cast("bigint")
-    stacked = visits.withColumn("n_species", zero).unionByName(
+    per_day = visits.groupBy(*_CELL, "date_s").agg(F.sum("n_records").alias("n_records"))
+    stacked = per_day.withColumn("n_species", zero).unionByName(
         taxa.withColumns({"n_records": zero, "n_species": F.lit(1).cast("bigint")}),
         allowMissingColumns=True,
     )
@@ -147,14 +151,18 @@ def locality_core(
         for c in ("n_species_IAS", "n_species_N2K", "n2000_score")
     }
     # rounding makes both coordinates constant inside a named locality; only the
-    # group without a name needs a true median (few distinct rounded values)
-    loose = obs.where(F.col("k_lat").isNull())
-    lat_mid = loose.select(F.median("lat_r")).scalar()
-    lon_mid = loose.select(F.median("lon_r")).scalar()
+    # group without a name needs a true median (few distinct rounded values).  No
+    # filter here, so that the planner reuses the exchange of ``visits``
+    half = F.col("k_lat").isNull()
+    middle = [
+        F.percentile(F.when(half, F.col(c)), 0.5, F.col("n_records")).alias(c)
+        for c in ("lat_r", "lon_r")
+    ]
+    mid = visits.agg(*middle).select(F.struct("lat_r", "lon_r")).scalar()
     return named.withColumns(blank).withColumns(
         {
-            "lat_r": F.when(known, F.col("k_lat")).otherwise(lat_mid),
-            "lon_r": F.when(known, F.col("k_lon")).otherwise(lon_mid),
+            "lat_r": F.when(known, F.col("k_lat")).otherwise(mid["lat_r"]),
+            "lon_r": F.when(known, F.col("k_lon")).otherwise(mid["lon_r"]),
             "effort_index": stats.effort_index(F.col("n_events"), F.col("n_species")),
         }
     )
