@@ -93,6 +93,19 @@ def padded_cell_key(lat_milli: Column, lon_milli: Column) -> Column:
     return F.concat(F.lit("cell_"), milli_text(lat_milli), F.lit("_"), milli_text(lon_milli))
 
 
+def canonical_cell(key: Column) -> Column:
+    """One spelling for cell keys: ``cell_61.7_16.16`` becomes the padded form.
+
+    Other keys stay as they are.
+    """
+    number = r"(-?[0-9]+)(?:\.([0-9]{1,3}))?"
+    pattern = f"^cell_{number}_{number}$"
+    part = [F.regexp_extract(key, pattern, i) for i in range(1, 5)]
+    lat = F.concat(part[0], F.lit("."), F.rpad(part[1], 3, "0"))
+    lon = F.concat(part[2], F.lit("."), F.rpad(part[3], 3, "0"))
+    return F.when(key.rlike(pattern), F.concat(F.lit("cell_"), lat, F.lit("_"), lon)).otherwise(key)
+
+
 def named_locality(locality_id: Column | None, locality: Column | None) -> Column:
     """First non-empty of locality id and locality text."""
     named = [
