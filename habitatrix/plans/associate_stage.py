@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from habitatrix import config as C
@@ -36,10 +36,19 @@ class Associates:
         return A.finds(self.kept, self.sites, self.totals)
 
     def foldered(self, df: DataFrame) -> DataFrame:
-        """Replace (run, focal) by the export folder."""
-        names = self.sites.select("run", "focal").distinct()
-        named = names.withColumn(
-            "folder", sinks.folder_name(text.safe_name(F.col("focal")), F.col("run"))
+        """Replace (run, focal) by the export folder.
+
+        The first user of a name gets it plain, later runs (and other species
+        with the same safe name) get a numbered suffix.
+        """
+        names = (
+            self.sites.select("run", "focal")
+            .distinct()
+            .withColumn("_base", text.safe_name(F.col("focal")))
+        )
+        order = Window.partitionBy("_base").orderBy("run", "focal")
+        named = names.withColumn("_use", F.row_number().over(order)).select(
+            "run", "focal", sinks.folder_name(F.col("_base"), F.col("_use")).alias("folder")
         )
         return df.join(lookup(named), ["run", "focal"], "inner").drop("run")
 

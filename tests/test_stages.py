@@ -95,6 +95,16 @@ def test_files_to_report(spark, files, tmp_path):
     assert {r.n_runs for r in report.collect()} == {3}
 
 
+def test_folders_never_clash(spark):
+    sites = spark.createDataFrame(
+        [(r, f, 0, "k", 0.0, 0.0) for r in (1, 2) for f in ("A b", "A_b", "C")],
+        "run int, focal string, fid bigint, LocalityKey string, E double, N double",
+    )
+    frames = associate_stage.Associates(sites, sites, sites, sites)
+    got = {r.folder for r in frames.foldered(sites.select("run", "focal")).collect()}
+    assert got == {"A_b", "A_b__001", "A_b__002", "A_b__003", "C", "C__001"}
+
+
 def test_cell_keys_join_in_both_spellings(spark):
     df = spark.createDataFrame(
         [("cell_61.7_16.16",), ("cell_61.700_16.160",), ("cell_5_-7.25",), ("Lake cell_1_2",), (None,)], "k string"
