@@ -120,7 +120,7 @@ def _folder(f: str, r: str) -> str:
     return _FOLDER.format(f=f, r=r)
 
 
-def _over(cols: str, *, value: str) -> str:
+def _over(value: str) -> str:
     return ", ".join(
         f"SUM(CASE WHEN {value}>{t} THEN w_inv ELSE 0e0 END) AS c{t}" for t in range(5)
     )
@@ -155,9 +155,9 @@ FROM red_loc r JOIN lm USING (LocalityID)""",
         "fh": f"""
 SELECT {_folder('focal', 'run')} AS folder, focal, run, 'hab' || (CAST(substr(focal,7) AS BIGINT)%6) AS main_hab
 FROM (SELECT DISTINCT run, focal FROM sites) q""",
-        "f_tot": f"SELECT folder, COUNT(*) AS n, SUM(w_inv) AS nw, {_over('', value='value')} FROM fl GROUP BY folder",
+        "f_tot": f"SELECT folder, COUNT(*) AS n, SUM(w_inv) AS nw, {_over('value')} FROM fl GROUP BY folder",
         "b_tot": f"""
-SELECT h.folder, COUNT(o.folder) AS n, coalesce(SUM(w_inv),0e0) AS nw, {_over('', value='value')}
+SELECT h.folder, COUNT(o.folder) AS n, coalesce(SUM(w_inv),0e0) AS nw, {_over('value')}
 FROM fh h LEFT JOIN fl o ON o.dominant_habitat=h.main_hab AND o.folder<>h.folder GROUP BY h.folder""",
         "a1": f"""
 SELECT h.folder, h.main_hab, f.n AS n_focal, b.n AS n_background, mean_loglift, lifted, frac,
@@ -171,7 +171,7 @@ SELECT h.folder, h.main_hab, l.LocalityID, l.n2000_score, l.w_inv,
  EXISTS (SELECT 1 FROM fl WHERE fl.folder=h.folder AND fl.LocalityID=l.LocalityID) AS own
 FROM fh h JOIN lm l ON l.dominant_habitat=h.main_hab OR NOT EXISTS (SELECT 1 FROM lm x WHERE x.dominant_habitat=h.main_hab)""",
         "a5_sets": f"""
-SELECT folder, pool, own, COUNT(*) AS n, SUM(w_inv) AS nw, {_over('', value='n2000_score')} FROM pool GROUP BY folder, pool, own""",
+SELECT folder, pool, own, COUNT(*) AS n, SUM(w_inv) AS nw, {_over('n2000_score')} FROM pool GROUP BY folder, pool, own""",
         "a5": f"""
 SELECT p.folder, p.pool, coalesce(f.n,0) AS n_in_pool, coalesce(b.n,0) AS n_rest, mean_loglift,
  CASE WHEN t.n<30 THEN 'TOO_FEW_FOCAL_LOCALITIES (' || t.n || ' < 30)' WHEN f.n IS NULL THEN 'NO_FOCAL_LOCALITIES_IN_LM (n_ids=' || t.n || ')'

@@ -21,13 +21,6 @@ def _slices(df: DataFrame, keys: list[str]) -> DataFrame:
     return materialize(cut, "slices")
 
 
-def _same(left: DataFrame, right: DataFrame, keys: list[str]):
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def running_sum(
     df: DataFrame, group: list[str], order: list[str], value: str, out: str
 ) -> DataFrame:
