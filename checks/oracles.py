@@ -227,14 +227,16 @@ UNION ALL SELECT 0, 0e0, 0e0""",
 SELECT s1.b AS c1, s2.b AS c2, s3.b AS c3 FROM seg s1 JOIN seg s2 ON s2.a=s1.b JOIN seg s3 ON s3.a=s2.b JOIN seg s4 ON s4.a=s3.b
 WHERE s1.a=0 AND s4.b=(SELECT MAX(i) FROM vals) ORDER BY s1.c+s2.c+s3.c+s4.c, c3, c2, c1 LIMIT 1""",
         "cuts": """
-SELECT (SELECT x FROM vals WHERE i=c1+1) AS k1, (SELECT x FROM vals WHERE i=c2+1) AS k2, (SELECT x FROM vals WHERE i=c3+1) AS k3 FROM best""",
+SELECT DISTINCT x FROM (SELECT x FROM vals WHERE i IN (SELECT c1+1 FROM best UNION ALL SELECT c2+1 FROM best UNION ALL SELECT c3+1 FROM best)
+ UNION ALL SELECT MAX(x) FROM vals) u WHERE x > (SELECT MIN(x) FROM vals) AND EXISTS (SELECT 1 FROM best)""",
     }
 
 
 def _class(value: str) -> str:
+    """First distinct limit not below the value; no class without two limits."""
     return (
-        f"CASE WHEN {value}>=0 THEN (SELECT CASE WHEN {value}<=k1 THEN 1e0 WHEN {value}<=k2 THEN 2e0 "
-        f"WHEN {value}<=k3 THEN 3e0 ELSE 4e0 END FROM cuts) END"
+        f"CASE WHEN {value}>=0 AND (SELECT COUNT(*) FROM cuts)>0 THEN CAST(least("
+        f"1+(SELECT COUNT(*) FROM cuts c WHERE c.x<{value}), (SELECT COUNT(*) FROM cuts)) AS DOUBLE) END"
     )
 
 
@@ -598,7 +600,7 @@ FROM drawn d GROUP BY d.folder, d.rep""",
             "by_brand": "SELECT brand, round(AVG(q)-25.4e0,6) AS x FROM metric_rows GROUP BY brand",
             **_breaks("by_brand", "x"),
         },
-        f"SELECT brand, x, {_class('x')} AS x_class FROM by_brand",
+        f"SELECT brand, x, {_class('by_brand.x')} AS x_class FROM by_brand",
     )
     comp = {
         **s3,
@@ -613,7 +615,7 @@ FROM fh h JOIN found d ON d.focal=h.focal AND d.run=h.run JOIN a1 ON a1.folder=h
     out["composite_index"] = _sql(
         comp,
         f"""SELECT folder, focal_id, main_hab, No_obs, No_asc_spp, No_redlisted, n_focal, n_background, n_pool_localities,
- {_r6('Habitat_purity', 'mean_loglift', 'n2k_mean_loglift')}, {zs}, {_r6('composite_index')}, {_class('composite_index')} AS composite_class, A1_debug, A5_debug FROM scored""",
+ {_r6('Habitat_purity', 'mean_loglift', 'n2k_mean_loglift')}, {zs}, {_r6('composite_index')}, {_class('scored.composite_index')} AS composite_class, A1_debug, A5_debug FROM scored""",
     )
     out["habitat_summary"] = _sql(
         {**METRIC_ROWS, **_scored("metric_rows")},
@@ -633,7 +635,7 @@ FROM fh h JOIN found d ON d.focal=h.focal AND d.run=h.run JOIN a1 ON a1.folder=h
     report = {**RUNS, **_stability("No_obs>=350"), **_breaks("stab", "mean")}
     out["stability_report"] = _sql(
         report,
-        f"""SELECT {_STAB_COLS}, {_class('mean')} AS mean_class, CASE WHEN mean>=0 THEN CASE WHEN {_class('mean')}>=3 THEN 1e0 ELSE 0e0 END END AS mean_class3plus,
+        f"""SELECT {_STAB_COLS}, {_class('stab.mean')} AS mean_class, CASE WHEN mean>=0 THEN CASE WHEN {_class('stab.mean')}>=3 THEN 1e0 ELSE 0e0 END END AS mean_class3plus,
  round({_SCORE},10) AS stability_score, round(relative_sd*(1-{_SCORE}),10) AS instability_score FROM stab""",
     )
     out["top_unstable"] = _sql(
