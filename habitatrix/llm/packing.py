@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from habitatrix.llm.chunked import ByteEncoder, opened
-from habitatrix.llm.tables import materialize, rows_by_bytes, texts_of, whole_text
+from habitatrix.llm.tables import materialize, rows_by_bytes, ship, texts_of, whole_text
 
 #: Pieces that one packing task takes; a shard wastes a few sequences at most.
 SHARD_PIECES = 60_000
@@ -108,6 +108,7 @@ def pack(
     the input, and packs by itself.  Only lengths and checksums are shuffled, never texts.  An empty
     table gives an empty one; repeated rows are packed as often as they occur; NULL ids stay.
     """
+    ship(docs.sparkSession)
     pieces = materialize(cut(docs, model, capacity, end_id), "pieces")
     shards = max(1, -(-pieces.count() // shard_pieces))
     dealt = F.pmod(F.xxhash64("doc_id", "piece", F.lit("shard")), F.lit(shards)).cast("int")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,12 +13,29 @@ from pyspark.sql import functions as F
 
 from habitatrix.session import materialize
 
-__all__ = ["held_out", "materialize", "read", "rows_by_bytes", "texts_of", "whole_text"]
+__all__ = ["held_out", "materialize", "read", "rows_by_bytes", "ship", "texts_of", "whole_text"]
 
 #: Text that a numpy kernel takes at a time; its arrays are about 50 times as large.
 SLICE_BYTES = 1 << 21
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(tempfile.mkdtemp(prefix="habitatrix-code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted(package.rglob("*.py")):
+            z.write(file, file.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _shipped.add(context.applicationId)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from habitatrix.llm.chunked import PieceCounter, opened
-from habitatrix.llm.tables import materialize, rows_by_bytes, texts_of, whole_text
+from habitatrix.llm.tables import materialize, rows_by_bytes, ship, texts_of, whole_text
 from habitatrix.session import scratch_path
 
 CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens bigint"
@@ -62,6 +62,7 @@ def count_tokens(
     """
     spark = docs.sparkSession
     cache = cache or scratch_path(spark, "token-cache")
+    ship(docs.sparkSession)
     version = tokenizer_digest(model)
     text = whole_text(text_column)
     results = {"digest", "n_bytes", "n_tokens", text_column.lower()}
