@@ -11,7 +11,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from habitatrix.llm import language_id, packing, quality, token_counts, toxicity
+from habitatrix.llm import (
+    decontaminate,
+    embedding_dedup,
+    language_id,
+    packing,
+    quality,
+    token_counts,
+    toxicity,
+)
 from habitatrix.llm.tables import read
 
 #: Longest document, in tokens, that op1 does not mark.
@@ -24,6 +32,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.overlaps(docs, read(spark, sf_dir, "benchmark"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, read(spark, sf_dir, "labels"))
@@ -47,12 +60,18 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(read(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
+    "op2_decontamination": op2_decontamination,
     "op4_toxicity": op4_toxicity,
     "op7_language_id": op7_language_id,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
+    "op10_embedding_near_dedup": op10_embedding_near_dedup,
 }
 
 ORACLES: dict[str, str] = {}
