@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from habitatrix.llm import (
     decontaminate,
     embedding_dedup,
+    jaccard_join,
     language_id,
     packing,
     quality,
@@ -44,6 +45,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", predicted, "offending")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.components(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op2_decontamination": op2_decontamination,
     "op4_toxicity": op4_toxicity,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op7_language_id": op7_language_id,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
