@@ -19,6 +19,7 @@ from habitatrix.llm import (
     line_dedup,
     packing,
     quality,
+    suffix_dedup,
     token_counts,
     toxicity,
 )
@@ -54,6 +55,12 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.repeated_spans(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.size("removed").cast("bigint").alias("n_spans")
+    return found.select("doc_id", "n_bytes", "n_removed", spans, "kept_sha256", "removed")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return language_id.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_language_id": op7_language_id,
     "op8_packing": op8_packing,
     "op9_quality": op9_quality,
