@@ -1,9 +1,10 @@
 """Documents whose word-shingle sets have a Jaccard similarity of 3/4 or more, exactly.
 
 1. Equal sets become one class, by a digest of the set.
-2. Two sets can only link if they share one of the first ``n - ceil(3n/4) + 1`` shingles of each, in
-   any order common to all sets.  The order puts shingles that are frequent in a sample last; the
-   sample decides how much work there is, never the result.
+2. Two sets can only link if they share ``k`` of the first ``n - ceil(3n/4) + k`` shingles of each, in
+   any order common to all sets; ``k`` is ``1 + n // 8``.  A set of which fewer are in any other set
+   links with nothing.  The order puts shingles that are frequent in a sample last; the sample decides
+   how much work there is, never the result.
 3. A shingle and a pair of neighbouring size bands name a tile, so every pair that can link meets in
    one.  Each member of a tile is compared with the tile's smallest class; what links, merges.
 4. Only tiles that still hold more than one component compare all members across components, in
@@ -18,6 +19,7 @@ from __future__ import annotations
 import dataclasses
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,7 @@ from habitatrix.llm.components import connected
 from habitatrix.llm.hashing import mix, runs, words
 from habitatrix.llm.tables import materialize, rows_by_bytes, ship, texts_of, whole_text
 from habitatrix.llm.tiles import into_tiles
+from habitatrix.session import lookup
 
 WORDS = 5
 
@@ -38,13 +41,12 @@ NUMERATOR, DENOMINATOR = 3, 4
 class Settings:
     sampled: int = 4_000  # sets, about, in which frequent shingles are looked for
     frequent: int = 4  # sampled sets that make a shingle frequent
-    per_bucket: int = 1_000_000  # shingles that one task sorts
+    per_bucket: int = 600_000  # shingles that one task sorts
     block: int = 512  # sets in one side of a tile
 
 
 def shingles(data, bounds):
     """Sorted distinct shingle hashes of each text."""
-    import numpy as np
 
     h, first = words(data, bounds)
     five = runs(h, range(WORDS))
@@ -61,18 +63,21 @@ def shingles(data, bounds):
 
 def bands(n):
     """Size band of each set: linked sets are in the same or neighbouring bands."""
-    import numpy as np
 
     return np.floor(np.log(np.maximum(n, 1)) / np.log(DENOMINATOR / NUMERATOR) + 1e-9).astype("int64")
 
 
+def needed(n):
+    """Shingles of its prefix that a set must share."""
+    return 1 + n // 8
+
+
 def prefix_length(n):
-    return n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + 1
+    return n - (NUMERATOR * n + DENOMINATOR - 1) // DENOMINATOR + needed(n)
 
 
 def signature(hashes, band: int):
     """Bitmap as bytes: about four bits for each shingle of the band's largest set."""
-    import numpy as np
 
     top = (DENOMINATOR / NUMERATOR) ** (band + 1)
     bits = 1 << max(6, int(np.ceil(np.log2(4 * top))))
@@ -82,7 +87,6 @@ def signature(hashes, band: int):
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import numpy as np
 
     for part in rows_by_bytes(batches, "_text"):
         sets = shingles(*texts_of(part, "_text"))
@@ -100,12 +104,11 @@ def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(s.view("int64"))], names=["h"])
 
 
-def _prefixes(shared, bits: int, flush: int = 1_500_000):
+def _prefixes(shared, bits: int, flush: int = 500_000):
     """Prefix shingles of each set, packed by bucket: keys, classes and set sizes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
+    
         frequent = shared.value
         held: list[tuple] = []
         n_held = 0
@@ -146,37 +149,39 @@ def _prefixes(shared, bits: int, flush: int = 1_500_000):
 
 
 def _tiles_of_bucket(pdf):
-    """Members of every tile of two classes or more, with the smallest one."""
-    import numpy as np
+    """Members of every tile of two classes or more; ``once`` marks one row of each shared shingle."""
     import pandas as pd
 
-    key, doc, n = (np.frombuffer(b"".join(pdf[c]), dtype=t) for c, t in (("keys", "uint64"), ("docs", "int64"), ("sizes", "int64")))
-    order = np.argsort(key, kind="stable")
+    kinds = (("keys", "uint64"), ("docs", "int64"), ("sizes", "int64"))
+    key, doc, n = (np.frombuffer(b"".join(pdf[c]), dtype=t) for c, t in kinds)
+    order = np.lexsort((doc, key))
     key, doc, n = key[order], doc[order], n[order]
     same = key[1:] == key[:-1]
+    other = np.append(True, ~same | (doc[1:] != doc[:-1]))  # a repeated row of the input counts once
+    key, doc, n = key[other], doc[other], n[other]
+    same = key[1:] == key[:-1]
     often = np.append(False, same) | np.append(same, False)
     key, doc, n = key[often], doc[often], n[often]
-    band = bands(n)
-    key, doc, n = np.tile(key, 2), np.tile(doc, 2), np.tile(n, 2)
+    band, m = bands(n), len(key)
     tile = np.concatenate([band, band - 1])
-    order = np.lexsort((doc, tile, key))
-    key, doc, n, tile = key[order], doc[order], n[order], tile[order]
-    new = np.append(True, (key[1:] != key[:-1]) | (tile[1:] != tile[:-1]))[: len(key)]
-    first = np.flatnonzero(new)
-    size = np.diff(np.append(first, len(key)))
+    order = np.lexsort((np.tile(doc, 2), tile, np.tile(key, 2)))
+    tile, at = tile[order], order % m if m else order
+    new = np.append(True, (key[at][1:] != key[at][:-1]) | (tile[1:] != tile[:-1]))[: len(at)]
+    size = np.diff(np.append(np.flatnonzero(new), len(at)))
     kept = np.repeat(size > 1, size)
-    leader = np.repeat(doc[first], size)
+    tile, at, upper = tile[kept], at[kept], (order < m)[kept]
+    # of a shingle's two rows the upper band's counts, or the only one
+    both = np.bincount(at, minlength=m)[at] > 1
     return pd.DataFrame(
-        {"h": key.view("int64"), "tile": tile.astype("int32"), "doc": doc, "leader": leader}
-    )[kept]
+        {"h": key[at].view("int64"), "tile": tile.astype("int32"), "doc": doc[at], "n": n[at], "once": upper | ~both}
+    )
 
 
 def _wanted(shared):
     """Whole sets, with bitmaps, of texts that are likely among the wanted ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
+    
         bitmap = shared.value
         for batch in batches:
             ids = np.asarray(batch.column(0))
@@ -200,14 +205,12 @@ def _wanted(shared):
 
 def fold(bits, width: int):
     """A bitmap (one or one a row, as bytes) reduced to ``width`` bytes."""
-    import numpy as np
 
     return np.bitwise_or.reduce(bits.reshape(*bits.shape[:-1], -1, width), axis=-2)
 
 
 def _may_link(n_a, n_b, only_a, only_b):
     """Upper bound of the overlap against the overlap that a link needs."""
-    import numpy as np
 
     most = np.minimum(n_a - only_a, n_b - only_b)
     return (NUMERATOR + DENOMINATOR) * most >= NUMERATOR * (n_a + n_b)
@@ -215,7 +218,6 @@ def _may_link(n_a, n_b, only_a, only_b):
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) whose bitmaps leave a link possible."""
-    import numpy as np
 
     for batch in batches:
         kept = np.zeros(batch.num_rows, dtype=bool)
@@ -230,12 +232,11 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs (a, b) that link, by intersecting their sorted arrays."""
-    import numpy as np
 
     for batch in batches:
         kept = np.zeros(batch.num_rows, dtype=bool)
-        for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
-            x, y = np.frombuffer(x, dtype="uint64"), np.frombuffer(y, dtype="uint64")
+        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+            x, y = (np.frombuffer(v.as_buffer(), dtype="uint64") for v in (x, y))
             both = len(np.intersect1d(x, y, assume_unique=True))
             kept[i] = DENOMINATOR * both >= NUMERATOR * (len(x) + len(y) - both)
         yield batch.select([0, 1]).filter(pa.array(kept))
@@ -243,7 +244,6 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _across(pdf):
     """Pairs of one tile that are in different components and whose bitmaps leave a link possible."""
-    import numpy as np
     import pandas as pd
 
     i, j = int(pdf["_i"].iloc[0]), int(pdf["_j"].iloc[0])
@@ -296,31 +296,34 @@ def components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     rows = materialize(named.mapInArrow(_sets, "doc_id bigint, n bigint, d1 bigint, d2 bigint"), "sets")
     key = ["n", "d1", "d2"]
     classes = materialize(rows.where("n > 0").groupBy(*key).agg(F.min("doc_id").alias("doc")), "classes")
-    spared = rows.join(classes.select(F.col("doc").alias("doc_id")), "doc_id", "left_anti").select("doc_id").distinct()
-    firsts = named.join(materialize(spared, "copies"), "doc_id", "left_anti").distinct()
+    copies = rows.join(classes.select(F.col("doc").alias("doc_id")), "doc_id", "left_anti").select("doc_id").distinct()
+    firsts = named.join(lookup(materialize(copies, "copies")), "doc_id", "left_anti")
 
-    total, postings = classes.agg(
-        F.count(F.lit(1)), F.coalesce(F.sum(F.expr(f"n - ceil({NUMERATOR} * n / {DENOMINATOR}) + 1")), F.lit(0))
-    ).first()
+    length = F.expr(f"n - ceil({NUMERATOR} * n / {DENOMINATOR}) + 1 + n div 8")
+    total, postings = classes.agg(F.count(F.lit(1)), F.coalesce(F.sum(length), F.lit(0))).first()
     part = F.pmod(F.xxhash64("doc_id", F.lit("frequent")), F.lit(1 << 30)) < int((1 << 30) * min(1, s.sampled / max(1, total)))
-    often = firsts.where(part).mapInArrow(_all_shingles, "h bigint").groupBy("h").count()
-    import numpy as np
-
+    often = named.where(part).mapInArrow(_all_shingles, "h bigint").groupBy("h").count()
     frequent = often.where(F.col("count") >= s.frequent).select("h").toPandas()["h"].to_numpy().astype("int64")
     frequent = spark.sparkContext.broadcast(np.sort(frequent.view("uint64")))
     bits = max(4, (int(postings) // s.per_bucket).bit_length())
     packed = firsts.mapInArrow(_prefixes(frequent, bits), "bucket int, keys binary, docs binary, sizes binary")
-    tiles = packed.groupBy("bucket").applyInPandas(
-        _tiles_of_bucket, "h bigint, tile int, doc bigint, leader bigint"
+    shared = packed.groupBy("bucket").applyInPandas(
+        _tiles_of_bucket, "h bigint, tile int, doc bigint, n bigint, once boolean"
     )
-    tiles = materialize(tiles, "tiles")
-
-    members = materialize(tiles.select("doc").distinct(), "members")
+    shared = materialize(shared, "shared-shingles")
+    members = shared.where("once").groupBy("doc").agg(F.count(F.lit(1)).alias("k"), F.first("n").alias("n"))
+    members = materialize(members.where("k >= 1 + n div 8").select("doc"), "members")
+    kept = shared.select("h", "tile", "doc").join(lookup(members), "doc", "left_semi")
+    leaders = kept.groupBy("h", "tile").agg(F.min("doc").alias("leader"), F.count(F.lit(1)).alias("size"))
+    tiles = materialize(kept.join(leaders.where("size > 1").drop("size"), ["h", "tile"]), "tiles")
+
+    # Texts that only seem to be members do no harm: nothing asks for their sets.
     bitmap = spark.sparkContext.broadcast(bitmap_of(members, "doc", members.count()))
-    sets = named.mapInArrow(_wanted(bitmap), "doc bigint, n bigint, bits binary, hashes binary")
-    sets = materialize(sets.join(members, "doc", "left_semi").dropDuplicates(["doc"]), "member-sets")
+    sets = firsts.mapInArrow(_wanted(bitmap), "doc bigint, n bigint, bits binary, hashes binary")
+    sets = materialize(sets, "member-sets")
 
     near = tiles.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
+    near = materialize(near, "leader-pairs")
     first_links = materialize(_linked(near, sets), "leader-links")
     roots = connected(first_links).select(F.col("node").alias("doc"), F.col("component").alias("root"))
     rooted = tiles.select("h", "tile", "doc").join(roots, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
