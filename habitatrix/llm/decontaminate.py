@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from habitatrix.llm.bitmaps import bitmap_of, may_hold
 from habitatrix.llm.hashing import WORDLIKE, mix, runs, words
 from habitatrix.llm.tables import materialize, rows_by_bytes, ship, texts_of, whole_text
+from habitatrix.session import lookup
 
 OVERLAP = 13
 SUBSTITUTIONS = 2
@@ -188,4 +189,4 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated ones; all other rows stay as they are."""
     bad = materialize(overlaps(docs, benchmark).select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(lookup(bad), "doc_id", "left_anti").select(docs.columns)

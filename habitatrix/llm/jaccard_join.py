@@ -350,4 +350,4 @@ def keep_one(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` without the documents of a component that are not its first."""
     found = components(docs, settings)
     copies = materialize(found.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
-    return docs.join(copies, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(lookup(copies), "doc_id", "left_anti").select(docs.columns)
