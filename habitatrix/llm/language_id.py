@@ -146,6 +146,7 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model | None:
     """
     import numpy as np
 
+    ship(docs.sparkSession)
     usable = docs.where(F.col("lang").isNotNull() & F.col("_text").rlike(r"\p{L}"))
     sample = materialize(
         bounded_sample(usable.select("doc_id", "lang", "_text"), "lang", settings.per_language), "lang-sample"
@@ -201,6 +202,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     ``und`` with score 0 for texts that are NULL or have no letter, and for all without a model.
     """
     spark = docs.sparkSession
+    ship(spark)
     kept = [c for c in docs.columns if c.lower() not in ("text", "lang", "lang_pred", "score")]
     row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row")
     if model is None:
@@ -216,7 +218,6 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Fit on the rows that are not held out, then predict every row; adds ``held_out``."""
-    ship(docs.sparkSession)
     learn = docs.select("doc_id", "lang", whole_text().alias("_text")).where(~held_out())
     rows = docs.withColumn("held_out", held_out())
     return predict(rows, fit(learn, settings))
