@@ -1,0 +1,190 @@
+"""Similarity joins and repeated strings against brute force."""
+
+import hashlib
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from habitatrix.llm import components, embedding_dedup, jaccard_join, suffix_dedup, tiles
+
+TEXT = "doc_id bigint, text string"
+
+
+def roots(nodes, links):
+    parent = {n: n for n in nodes}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def shingle_set(text):
+    lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words = re.findall(r"[^\x20\x09-\x0D]+", lowered)
+    if len(words) >= 5:
+        return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+    return {tuple(words)} if words else set()
+
+
+def jaccard_components(rows):
+    sets = {i: shingle_set(t) for i, t in rows}
+    links = []
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and both and 100 * both >= 75 * len(sets[a] | sets[b]):
+                links.append((a, b))
+    return {i: (len(sets[i]), c) for i, c in roots(sets, links).items()}
+
+
+def near_copies(seed, n=90):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    passage = [rng.choice(vocabulary) for _ in range(40)]
+    bases = [[rng.choice(vocabulary) for _ in range(rng.randint(6, 120))] for _ in range(12)]
+    rows = []
+    for i in range(n):
+        words = list(rng.choice(bases))
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = rng.choice(vocabulary)
+        if rng.random() < 0.3:
+            words += passage
+        rows.append((i * 11 % 97, " ".join(words) if rng.random() < 0.8 else "  ".join(words).upper()))
+    return rows + [(200, None), (201, ""), (202, " \n"), (203, "a b"), (204, "A  B"), (205, "a b c"), (206, "x y z u v")]
+
+
+@pytest.mark.parametrize("kw", [{}, {"per_bucket": 50, "block": 3, "sampled": 5, "frequent": 1}])
+def test_jaccard_components(spark, kw):
+    rows = near_copies(1)
+    got = jaccard_join.components(spark.createDataFrame(rows, TEXT), jaccard_join.Settings(**kw)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == jaccard_components(rows)
+    assert len(got) == len(rows)
+
+
+def test_jaccard_links_without_a_common_leader(spark):
+    # 2-3 link, and both share shingles with 1, which links with neither
+    words = [f"v{i}" for i in range(60)]
+    rows = [(1, " ".join(words[:30] + [f"q{i}" for i in range(30)])), (2, " ".join(words)), (3, " ".join(words[:57]))]
+    got = jaccard_join.components(spark.createDataFrame(rows, TEXT)).collect()
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 2, 3: 2}
+
+
+def test_jaccard_empty_table_and_kept_columns(spark):
+    assert jaccard_join.components(spark.createDataFrame([], TEXT)).count() == 0
+    rows = [(1, "a b c d e f", 0.5), (2, "A b c d e f", 1.5), (None, "a b c d e f", 2.5)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, component_id double")
+    got = jaccard_join.keep_one(docs)
+    assert got.columns == docs.columns
+    assert sorted(r.component_id for r in got.collect()) == [0.5, 2.5]
+
+
+def removed_by_force(rows, width=50):
+    first = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - width + 1):
+            first[b[p : p + width]] = min(first.get(b[p : p + width], i), i)
+    out = {}
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - width + 1):
+            if first[b[p : p + width]] < i:
+                gone[p : p + width] = b"\1" * width
+        kept = bytes(x for x, g in zip(b, gone, strict=True) if not g)
+        spans = sum(1 for k in range(len(gone)) if gone[k] and not (k and gone[k - 1]))
+        out[i] = (len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest())
+    return out
+
+
+@pytest.mark.parametrize("kw", [{}, {"per_bucket": 100, "per_range": 20}])
+def test_suffix_dedup(spark, kw):
+    rng = random.Random(5)
+
+    def noise(n):
+        return "".join(rng.choice("abcdé \x00") for _ in range(n))
+
+    passages = [noise(n) for n in (30, 49, 50, 51, 60, 75, 200)]
+    rows = []
+    for i in range(90):
+        parts = [rng.choice(passages) if rng.random() < 0.5 else noise(rng.randint(1, 90)) for _ in range(rng.randint(0, 5))]
+        rows.append((i * 7 % 97, "".join(parts)))
+    rows += [(500, None), (501, ""), (502, "a" * 300), (503, "a" * 120), (504, "ab" * 100)]
+    rows += [(505, rows[5][1]), (506, rows[5][1] + "x"), (507, "x" + rows[5][1])]
+    docs = spark.createDataFrame(rows, TEXT).repartition(3)
+    got = suffix_dedup.repeated_spans(docs, suffix_dedup.Settings(**kw)).collect()
+    found = {r.doc_id: (r.n_bytes, r.n_removed, len(r.removed), r.kept_sha256) for r in got}
+    assert found == removed_by_force(rows)
+
+
+def test_suffix_dedup_of_nothing(spark):
+    assert suffix_dedup.repeated_spans(spark.createDataFrame([], TEXT)).count() == 0
+    rows = [(1, "short"), (2, "short"), (None, "x" * 80)]
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, TEXT)).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (2, 0)]
+
+
+def test_multikey_sort():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    keys = rng.integers(0, 3, (500, 21)).astype("uint8")
+    keys[::7] = keys[3]
+    order, start = suffix_dedup.multikey_sort(keys)
+    rows = [keys[i].tobytes() for i in order]
+    assert rows == sorted(rows)
+    assert start.tolist() == [i == 0 or rows[i] != rows[i - 1] for i in range(len(rows))]
+
+
+def test_connected_components(spark):
+    rng = random.Random(2)
+    links = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(i, i + 1) for i in range(400, 460)]
+    links += [(900, i) for i in range(901, 990)] + [(5, 5), (None, 3)]
+    got = components.connected(spark.createDataFrame(links, "a bigint, b bigint")).collect()
+    real = [(a, b) for a, b in links if a is not None and a != b]
+    want = roots({n for link in real for n in link}, real)
+    assert {r.node: r.component for r in got} == want and len(got) == len(want)
+    assert components.connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_every_pair_meets_in_one_tile(spark):
+    rows = spark.createDataFrame([("k", i) for i in range(25)] + [("one", 1)], "k string, id bigint")
+    dealt = tiles.into_tiles(rows, ["k"], "id", block=4)
+    x, y = dealt.alias("x"), dealt.alias("y")
+    same = [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("k", "_i", "_j")]
+    met = x.join(y, same).where("x.id < y.id AND (x._i = x._j OR x._own <> y._own)").select("x.id", "y.id").collect()
+    assert len(met) == len(set(met)) == 25 * 24 // 2
+
+
+def test_embedding_links(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((60, 16))
+    x = np.concatenate([base, base[:30] + 0.12 * rng.standard_normal((30, 16)), base[:5], 3 * base[:5]])
+    x = np.concatenate([x, base[:1] + 0.05 * rng.standard_normal((40, 16))])
+    rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)]
+    rows += [(900, None, 1), (901, [0.0] * 16, 1), (902, [1.0, None] * 8, 1), (903, [float("nan")] * 16, 1)]
+    rows += [(904, [float("inf")] + [1.0] * 15, 1), (905, [], 1), (906, [1e-200] * 16, 1), (907, [1e200] * 16, 1)]
+    docs = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, kept int")
+    got = {r.vec_id: r for r in embedding_dedup.link(docs).collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v, _ in rows[: len(x)]}
+    unit |= {906: np.full(16, 0.25), 907: np.full(16, 0.25)}
+    links = [(a, b) for a in unit for b in unit if a < b and unit[a] @ unit[b] >= 0.95]
+    degree = {i: 0 for i, _, _ in rows}
+    for a, b in links:
+        degree[a] += 1
+        degree[b] += 1
+    assert sum(r.n_links for r in got.values()) >= 0.97 * sum(degree.values())
+    assert all(got[i].n_links <= degree[i] for i in degree)
+    assert all(got[i].n_links == 0 and got[i].kept for i in range(900, 906))
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
+    assert embedding_dedup.link(docs.limit(0)).count() == 0
