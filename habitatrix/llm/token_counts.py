@@ -91,6 +91,7 @@ def count_tokens(
     )
     todo = todo.select(F.unhex(F.sha2(F.col("_text").cast("binary"), 256)).alias("digest"), "_text")
     new = todo.mapInArrow(_counter(model), "digest binary, n_tokens bigint")
-    new = new.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # ids may repeat or be NULL
+    # ids may repeat or be NULL, so a known digest can come again
+    new = new.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).join(stored, "digest", "left_anti")
     new.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache)
     return keys.join(_stored(spark, cache, version), "digest", "left")
