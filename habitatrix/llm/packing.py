@@ -56,8 +56,8 @@ def cut(docs: DataFrame, model: str, capacity: int, end_id: int = 0) -> DataFram
 def sum_of_squares(lengths, capacity: int):
     """Bin and offset of each item, longest items first.
 
-    ``open_bins[g]`` counts the bins with gap ``g``.  An item goes where the sum of the squared
-    counts becomes smallest: into a bin of some gap, or into a new one.  Ties take the smaller gap.
+    ``open_bins[g]`` counts the bins with gap ``g``.  An item goes to the open bin that leaves the sum
+    of the squared counts smallest; ties take the smaller gap.  A bin is opened when none has room.
     """
     import numpy as np
 
@@ -68,19 +68,17 @@ def sum_of_squares(lengths, capacity: int):
     made = 0
     for i in np.argsort(-lengths, kind="stable"):
         size = int(lengths[i])
-        # moving a bin from gap g to g - size changes the sum by 2 * (N[g - size] - N[g] + 1)
-        change = 2 * (open_bins[: capacity + 1 - size] - open_bins[size:] + 1)
-        change[0] = 1 - 2 * open_bins[size]  # a full bin has no gap
-        change[-1] = 2 * open_bins[capacity - size] + 1  # a new bin
-        usable = open_bins[size:] > 0
-        usable[-1] = True
-        change[~usable] = np.iinfo("int64").max
-        gap = int(np.argmin(change)) + size
-        if gap == capacity:
-            k, made = made, made + 1
-        else:
+        room = open_bins[size:] > 0
+        if room.any():
+            # moving a bin from gap g to g - size changes the sum by 2 * (N[g - size] - N[g] + 1)
+            change = 2 * (open_bins[: capacity + 1 - size] - open_bins[size:] + 1)
+            change[0] = 1 - 2 * open_bins[size]  # a full bin has no gap
+            change[~room] = np.iinfo("int64").max
+            gap = int(np.argmin(change)) + size
             k = stacks[gap].pop()
             open_bins[gap] -= 1
+        else:
+            gap, k, made = capacity, made, made + 1
         bins[i], offsets[i] = k, capacity - gap
         if gap > size:
             stacks[gap - size].append(k)
