@@ -34,11 +34,14 @@ SIDE = WINDOW - GRAM
 SUFFIX = WINDOW + SIDE + 2  # suffix, bytes before it backwards, and how many there are on either side
 EVERY = (1 << (SIDE + 1)) - 1
 
+#: Text that a kernel takes at a time, and suffixes whose windows it hashes at a time.
+SLICE, BLOCK = 1 << 20, 10_000
+
 
 @dataclasses.dataclass(frozen=True)
 class Settings:
-    per_bucket: int = 3_000_000  # anchors that one task counts
-    per_range: int = 150_000  # suffixes that one task sorts
+    per_bucket: int = 1_000_000  # anchors that one task counts
+    per_range: int = 50_000  # suffixes that one task sorts
 
 
 def anchors(data, bounds):
@@ -110,7 +113,7 @@ def multikey_sort(keys):
     return order, start
 
 
-def _counted(bits: int, flush: int = 1_000_000):
+def _counted(bits: int, flush: int = 300_000):
     """Anchor hashes, once for each document, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +136,7 @@ def _counted(bits: int, flush: int = 1_000_000):
                 names=["bucket", "keys", "docs"],
             )
 
-        for part in rows_by_bytes(batches, "_text"):
+        for part in rows_by_bytes(batches, "_text", SLICE):
             data, bounds = texts_of(part, "_text")
             _, h, row = anchors(data, bounds)
             h = h >> np.uint64(32 - bits)
@@ -183,7 +186,7 @@ def _suffix_rows(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        for part in rows_by_bytes(batches, "_text"):
+        for part in rows_by_bytes(batches, "_text", SLICE):
             data, bounds = texts_of(part, "_text")
             where, h, row = anchors(data, bounds)
             h = h >> np.uint64(32 - bits)
@@ -225,6 +228,16 @@ def _window_hashes(keys):
         yield whole[:, SIDE - o :][:, :WINDOW], mix((sums[:, SIDE - o + WINDOW] - sums[:, SIDE - o]) * back[SIDE - o])
 
 
+def _blocks(rows, group):
+    """Cut ``rows`` into blocks of about ``BLOCK`` that keep each group whole."""
+    import numpy as np
+
+    if not len(rows):
+        return []
+    begin = np.flatnonzero(np.append(True, group[rows][1:] != group[rows][:-1]))
+    return np.split(rows, begin[np.flatnonzero(np.diff(begin // BLOCK)) + 1])
+
+
 def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeated windows of each suffix of one range, as bits; at its ends, windows to compare further."""
     import numpy as np
@@ -246,29 +259,30 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     size = np.bincount(group)
     edge = (group == 0) | (group == group[-1])
     bits = np.zeros(len(first), dtype="int64")
-    for chosen, across in ((~edge & (size[group] > 1), False), (edge, True)):
-        some = np.flatnonzero(chosen)
+    for some in _blocks(np.flatnonzero(~edge & (size[group] > 1)), group):
         k = keys[first[some]]
-        for o, (window, h) in enumerate(_window_hashes(k)):
+        for o, (_, h) in enumerate(_window_hashes(k)):
             valid = np.flatnonzero((k[:, -2] >= o) & (k[:, -1] >= SIDE - o))
-            if not len(valid):
-                continue
-            if across:
-                at = some[valid]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(doc[:0].repeat(0) if not len(at) else least[at]),
-                        pa.array(name[first[at]]),
-                        pa.array(np.full(len(at), 1 << o)),
-                        pa.array([w.tobytes() for w in window[valid]], pa.binary()),
-                    ],
-                    names=["doc_id", "name", "bits", "window"],
-                )
-            else:
-                by = valid[np.argsort(h[valid], kind="stable")]
-                head = np.append(True, h[by][1:] != h[by][:-1])
+            by = valid[np.argsort(h[valid], kind="stable")]
+            head = np.append(True, h[by][1:] != h[by][:-1])[: len(by)]
+            if len(by):
                 low = np.minimum.reduceat(least[some[by]], np.flatnonzero(head))[np.cumsum(head) - 1]
                 bits[some[by]] |= np.where(low < least[some[by]], 1 << o, 0)
+    ends = np.flatnonzero(edge)
+    for at in range(0, len(ends), BLOCK):
+        some = ends[at : at + BLOCK]
+        k = keys[first[some]]
+        for o, (window, _) in enumerate(_window_hashes(k)):
+            valid = np.flatnonzero((k[:, -2] >= o) & (k[:, -1] >= SIDE - o))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(least[some[valid]]),
+                    pa.array(name[first[some[valid]]]),
+                    pa.array(np.full(len(valid), 1 << o)),
+                    pa.array([w.tobytes() for w in window[valid]], pa.binary()),
+                ],
+                names=["doc_id", "name", "bits", "window"],
+            )
     out = np.where(doc > least[own], EVERY, bits[own])
     said = np.flatnonzero(out)
     yield pa.RecordBatch.from_arrays(
@@ -281,7 +295,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Byte spans to remove from each text and what is left of it."""
     import numpy as np
 
-    for part in rows_by_bytes(batches, "_text"):
+    for part in rows_by_bytes(batches, "_text", SLICE):
         data, bounds = texts_of(part, "_text")
         where, _, row = anchors(data, bounds)
         raw = np.zeros(len(data) + 1, dtype="int64")
