@@ -9,12 +9,8 @@ from __future__ import annotations
 FOCAL = "(" + ", ".join(f"'Brand#{i}'" for i in range(1, 9)) + ")"
 
 
-def _place(coarse: bool) -> str:
-    return "(o_custkey % 60)" if coarse else "o_custkey"
-
-
-def _stage1(coarse: bool = False) -> dict[str, str]:
-    c = _place(coarse)
+def _stage1() -> dict[str, str]:
+    c = "o_custkey"
     return {
         "occ": f"""
 SELECT CAST(l_orderkey AS VARCHAR) || '|' || l_linenumber || '|' || l_partkey || '|' || l_suppkey || '|'
@@ -91,7 +87,7 @@ def _stage2(runs: int = 1) -> dict[str, str]:
         "focal_pts": f"SELECT scientificName AS focal, * FROM base WHERE scientificName IN {FOCAL}",
         "sites": f"""
 SELECT run, focal, CAST(rn-1 AS BIGINT) AS fid, LocalityID AS LocalityKey, E, N FROM (
- SELECT *, row_number() OVER (PARTITION BY run, focal ORDER BY md5('42|' || run || '|' || row_key), row_key, E, N) AS rn
+ SELECT *, row_number() OVER (PARTITION BY run, focal ORDER BY md5('42|' || run || '|' || row_key || '|' || E || '|' || N), row_key, E, N) AS rn
  FROM focal_pts CROSS JOIN (SELECT CAST(unnest(range(1,{runs + 1})) AS INTEGER) AS run) r) q WHERE rn<=350""",
         "hits": f"""
 SELECT s.run, s.focal, s.fid, o.taxon_id, o.LocalityID, coalesce(o.taxon_id%7=0, false) AS is_red, o.E, o.N
@@ -323,10 +319,9 @@ SELECT {keep}, degrees(ps+sin(ps)*cos(ps)*(ca+cb*power(sin(ps),2)+cc*power(sin(p
 
 
 def build() -> dict[str, str]:
-    s1, s1c = _stage1(), _stage1(True)
+    s1 = _stage1()
     s2 = {**s1, **_stage2()}
-    s2c = {**s1c, **_stage2()}
-    s3 = {**s1c, **_stage2(3), **_stage3()}
+    s3 = {**s1, **_stage2(10), **_stage3()}
     out: dict[str, str] = {}
 
     # stage 1
@@ -503,7 +498,7 @@ FROM sites s LEFT JOIN (SELECT focal, fid, string_agg(CAST(taxon_id AS VARCHAR),
     )
     out["locality_species_red"] = _sql(
         {
-            **s2c,
+            **s2,
             "blank": "SELECT row_number() OVER () AS id, * FROM hits WHERE is_red",
             **_inverse("N", "E", "blank", "id"),
             "named": """
@@ -561,8 +556,8 @@ d AS (SELECT folder, rep, stratum, COUNT(*) AS k, SUM(COUNT(*)) OVER (PARTITION
 SELECT d.folder, rep, d.stratum, k, CASE WHEN EXISTS (SELECT 1 FROM li x WHERE x.folder=d.folder AND x.stratum=d.stratum AND l_suppkey%7<>stratum)
  THEN CAST(round_even(CAST(k AS DOUBLE)/CAST(n AS DOUBLE)*(SELECT least(COUNT(*),1000) FROM li y WHERE y.folder=d.folder),0) AS BIGINT) ELSE 0 END AS alloc FROM d"""
     lsa = {
-        **s1c,
-        **_stage2(3),
+        **s1,
+        **_stage2(10),
         "locs": f"""
 SELECT {_folder('s.focal', 's.run')} AS folder, s.fid, h.taxon_id FROM sites s
 LEFT JOIN (SELECT DISTINCT run, focal, fid, taxon_id FROM hits WHERE taxon_id IS NOT NULL) h ON h.run=s.run AND h.focal=s.focal AND h.fid=s.fid""",

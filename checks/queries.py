@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.views import DEFAULT_RUNS, Views
+from checks.views import Views
 from habitatrix import config as C
 from habitatrix.functions import geo, stats, text
 from habitatrix.operators import associates as A
@@ -434,9 +434,9 @@ def near_buffers(v: Views) -> DataFrame:
     return inside.groupBy("scientificName").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _stage2(v: Views, runs: int = 1, coarse: bool = False):
-    sites = materialize(v.sites(runs, coarse), "sites")
-    return A.site_contacts(v.others(coarse), sites, v.red_ids()), sites
+def _stage2(v: Views, runs: int = 1):
+    sites = materialize(v.sites(runs), "sites")
+    return A.site_contacts(v.others(), sites, v.red_ids()), sites
 
 
 @query
@@ -543,7 +543,7 @@ def locality_species_all(v: Views) -> DataFrame:
 
 @query
 def locality_species_red(v: Views) -> DataFrame:
-    contacts, sites = _stage2(v, coarse=True)
+    contacts, sites = _stage2(v)
     rows = A.locality_species_red(materialize(contacts, "contacts"), sites)
     return rows.select(
         "focal", "LocalityID", "SWEREF_N", "SWEREF_E", F.array_join("ids", " ").alias("ids")
@@ -554,14 +554,14 @@ def locality_species_red(v: Views) -> DataFrame:
 
 
 def _lm(v: Views) -> DataFrame:
-    """Stage-1 master of the coarse localities, as stage 3 loads it."""
-    master = L.locality_master(v.obs(True), v.ias(), v.n2k(), v.labels())
+    """Stage-1 master as stage 3 loads it."""
+    master = L.locality_master(v.obs(), v.ias(), v.n2k(), v.labels())
     return materialize(tables.locality_master_rows(master), "lm")
 
 
-def _folders(v: Views, runs: int = DEFAULT_RUNS):
-    """Stage-2 tables of the coarse localities for several runs."""
-    built = associate_stage.build(v.focal(True), v.others(True), v.red_ids(), runs=runs)
+def _folders(v: Views, runs: int = C.N_RUNS):
+    """Stage-2 tables for several runs."""
+    built = associate_stage.build(v.focal(), v.others(), v.red_ids(), runs=runs)
     return composite_stage.folder_tables(built)
 
 

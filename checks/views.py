@@ -2,7 +2,8 @@
 
 Every lineitem row is read as one observation: the part gives taxon and name, the
 order's customer the locality, the ship date the day.  ``E``/``N`` spread the
-records over a ten-kilometre square.  All views cover the whole tables.
+records over a ten-kilometre square.  All views cover the whole tables, and localities
+grow with the customers.
 """
 
 from __future__ import annotations
@@ -14,8 +15,6 @@ from habitatrix.operators import associates as A
 from habitatrix.operators import locality as L
 
 N_FOCAL_BRANDS = 8
-COARSE_LOCALITIES = 60
-DEFAULT_RUNS = 3
 
 
 class Views:
@@ -27,12 +26,12 @@ class Views:
 
     # -- observations ---------------------------------------------------------
 
-    def occ(self, coarse: bool = False) -> DataFrame:
+    def occ(self) -> DataFrame:
         part, orders = self.table("part"), self.table("orders")
         li = self.table("lineitem")
         day = F.col("l_shipdate").cast("date").cast("string")
         line = F.col("l_linenumber")
-        place = F.col("o_custkey") % COARSE_LOCALITIES if coarse else F.col("o_custkey")
+        place = F.col("o_custkey")
         taxon = F.lit(1000) + F.col("p_size") * 2 + F.col("p_partkey") % 2
         return (
             li.join(part, F.col("l_partkey") == F.col("p_partkey"))
@@ -74,12 +73,12 @@ class Views:
             )
         )
 
-    def obs(self, coarse: bool = False) -> DataFrame:
-        return L.observations(self.occ(coarse))
+    def obs(self) -> DataFrame:
+        return L.observations(self.occ())
 
-    def points(self, coarse: bool = False) -> DataFrame:
+    def points(self) -> DataFrame:
         """Projected points; the locality key is the stage-1 cell."""
-        occ = self.occ(coarse)
+        occ = self.occ()
         obs_key = F.concat(
             F.lit("cell_"),
             F.round(F.col("decimalLatitude"), 3).cast("string"),
@@ -160,15 +159,15 @@ class Views:
 
     # -- stage-2 frames -------------------------------------------------------
 
-    def marked(self, coarse: bool = False) -> DataFrame:
+    def marked(self) -> DataFrame:
         taxon = F.nullif(F.col("taxon"), F.lit(""))
-        return A.mark_focal(self.points(coarse).withColumn("taxon", taxon), self.selectors())
+        return A.mark_focal(self.points().withColumn("taxon", taxon), self.selectors())
 
-    def focal(self, coarse: bool = False) -> DataFrame:
-        return A.focal_points(self.marked(coarse))
+    def focal(self) -> DataFrame:
+        return A.focal_points(self.marked())
 
-    def others(self, coarse: bool = False) -> DataFrame:
-        return A.associate_points(self.marked(coarse))
+    def others(self) -> DataFrame:
+        return A.associate_points(self.marked())
 
-    def sites(self, runs: int = 1, coarse: bool = False) -> DataFrame:
-        return A.sample_sites(self.focal(coarse), runs=runs)
+    def sites(self, runs: int = 1) -> DataFrame:
+        return A.sample_sites(self.focal(), runs=runs)

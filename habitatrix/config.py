@@ -52,6 +52,9 @@ FOCAL_ID_HEADERS = ("taxonID", "TaxonID", "taxonId", "id")
 FOCAL_NAME_HEADERS = ("name", "scientificName", "scientific_name")
 RED_LIST_ID_HEADER = "Taxon id"
 
+# Fixed value: header of both species lists.
+SPECIES_LIST_HEADER = ("LocalityID", "SWEREF_N", "SWEREF_E", "Species_IDs")
+
 # -- stage 3: enrichment and composite ----------------------------------------
 THRESHOLDS = (0, 1, 2, 3, 4)
 MAX_THRESHOLD = 15
@@ -110,5 +113,5 @@ class EnrichmentSettings:
     prior_b: float = PRIOR_B
     min_localities: int = MIN_LOCALITIES
     bootstraps: int = BOOTSTRAPS
-    background_cap: int = BACKGROUND_CAP
+    background_cap: int | None = BACKGROUND_CAP  # None: no cap
     seed: int = SEED

@@ -57,9 +57,9 @@ def occurrence_rows(occ: DataFrame) -> DataFrame:
     name = optional("scientificName")
     if name is None:
         name = F.coalesce(taxon, F.lit("unknown"))
+    whole = F.concat_ws("|", *[F.col(f"`{c}`").cast("string") for c in sorted(occ.columns)])
     key = optional("occurrenceID")
-    if key is None:
-        key = F.concat_ws("|", *[F.col(c).cast("string") for c in sorted(occ.columns)])
+    key = whole if key is None else F.coalesce(key.cast("string"), whole)
     return in_bbox(occ).select(
         name.alias("focal"),
         text_or_null(optional("vernacularName")).alias("vern"),
@@ -157,10 +157,13 @@ def sample_sites(
     """Up to ``size`` sites per run and species, drawn without replacement.
 
     The smallest draw keys win.  Spark keeps only ``size`` rows per group in each
-    map task before it shuffles, so a dominant species stays cheap.
+    map task before it shuffles, so a dominant species stays cheap.  The position
+    is part of the draw, so records that share a key, or lack one, differ too.
     """
     each = focal.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
-    keyed = each.withColumn("_draw", draw_key(seed, F.col("run"), F.col("row_key")))
+    keyed = each.withColumn(
+        "_draw", draw_key(seed, F.col("run"), F.col("row_key"), F.col("E"), F.col("N"))
+    )
     order = Window.partitionBy(*_OWNER).orderBy("_draw", "row_key", "E", "N")
     first = keyed.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= size)
     return (
@@ -216,14 +219,15 @@ def buffer_bounds(
 
 
 def near_buffers(occ: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Records in the degree box; the bounds reach the parquet scan."""
+    """Records in the degree box; the bounds reach the scan of numeric columns.
+
+    Text coordinates are read leniently, like everywhere else.
+    """
     low_lon, low_lat, high_lon, high_lat = (
         bounds.select(c).scalar() for c in ("lon_min", "lat_min", "lon_max", "lat_max")
     )
-    return occ.where(
-        F.col("decimalLongitude").between(low_lon, high_lon)
-        & F.col("decimalLatitude").between(low_lat, high_lat)
-    )
+    lon, lat = (F.col(c).try_cast("double") for c in ("decimalLongitude", "decimalLatitude"))
+    return occ.where(lon.between(low_lon, high_lon) & lat.between(low_lat, high_lat))
 
 
 # -- spatial join -------------------------------------------------------------

@@ -131,19 +131,40 @@ def write(result: Associates, out: str) -> None:
     every = result.foldered(A.all_observations(result.contacts, result.sites, result.kept))
     sinks.write_lines(every, f"{out}/allObservations", F.concat_ws(" ", "focal", "taxon"))
     red = result.foldered(A.red_species_local(result.contacts, result.sites))
-    sinks.write_lines(red, f"{out}/RedSpeciesLocal", F.concat_ws(" ", "LocalityID", "n_red"))
+    sinks.write_lines(
+        red,
+        f"{out}/RedSpeciesLocal",
+        F.concat_ws(" ", "LocalityID", "n_red"),
+        order=(F.col("LocalityID"),),
+    )
     listed = F.concat_ws(" ", "LocalityID", "SWEREF_N", "SWEREF_E", F.array_join("ids", " "))
     at_sites = result.foldered(A.locality_species_all(result.contacts, result.sites))
-    sinks.write_lines(at_sites, f"{out}/LocalitySpecies_ALL", F.rtrim(listed))
+    sinks.write_lines(
+        at_sites,
+        f"{out}/LocalitySpecies_ALL",
+        F.rtrim(listed),
+        order=(F.col("fid"),),
+        header=" ".join(C.SPECIES_LIST_HEADER),
+        folders=found,
+    )
     tabbed = F.concat_ws("\t", "LocalityID", "SWEREF_N", "SWEREF_E", F.array_join("ids", " "))
     per_locality = result.foldered(A.locality_species_red(result.contacts, result.sites))
-    sinks.write_lines(per_locality, f"{out}/LocalitySpecies_RED", tabbed)
+    sinks.write_lines(
+        per_locality,
+        f"{out}/LocalitySpecies_RED",
+        tabbed,
+        order=(F.col("LocalityID"),),
+        header="\t".join(C.SPECIES_LIST_HEADER),
+        folders=found,
+    )
 
 
 def read_lines(spark: SparkSession, out: str, table: str) -> DataFrame:
     """Lines of one written table: ``folder, pos, line``."""
     return (
-        spark.read.text(f"{out}/{table}")
+        # a folder may look like a number, so its type is not guessed
+        spark.read.schema("value string, folder string")
+        .text(f"{out}/{table}")
         .withColumnRenamed("value", "line")
         .select("folder", F.monotonically_increasing_id().alias("pos"), "line")
     )

@@ -61,7 +61,9 @@ def read_folder_tables(spark: SparkSession, root: str, exported: bool = True) ->
 
     return FolderTables(
         tables.parse_red_local(lines("RedSpeciesLocal")),
-        tables.parse_totals(lines("totalTargetObs")),
+        tables.parse_totals(lines("totalTargetObs")).join(
+            lines("allObservations").select("folder").distinct(), "folder", "left_semi"
+        ),
         tables.parse_observed_ids(lines("allObservations")),
         tables.parse_locality_species(lines("LocalitySpecies_ALL")),
     )

@@ -17,6 +17,9 @@ BROADCAST_BYTES = 10 * 1024 * 1024
 
 _local_scratch: str | None = None
 
+#: Local application ids repeat, so the process has a name of its own.
+_PROCESS = uuid.uuid4().hex[:12]
+
 
 def scratch_root(spark: SparkSession) -> str:
     """Shared folder for tables that cut lineage.
@@ -35,8 +38,13 @@ def scratch_root(spark: SparkSession) -> str:
     return _local_scratch
 
 
+def session_scratch(spark: SparkSession) -> str:
+    """This application's own folder below the shared one."""
+    return f"{scratch_root(spark)}/habitatrix/{spark.sparkContext.applicationId}-{_PROCESS}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{scratch_root(spark)}/habitatrix/{label}-{uuid.uuid4().hex}"
+    return f"{session_scratch(spark)}/{label}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, label: str = "step") -> DataFrame:
@@ -52,9 +60,9 @@ def materialize(df: DataFrame, label: str = "step") -> DataFrame:
 
 
 def drop_scratch(spark: SparkSession) -> None:
-    """Delete every table that ``materialize`` wrote below the shared folder."""
+    """Delete the tables that this session wrote; those of other sessions stay."""
     jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/habitatrix")
+    path = jvm.org.apache.hadoop.fs.Path(session_scratch(spark))
     conf = spark._jsc.hadoopConfiguration()
     path.getFileSystem(conf).delete(path, True)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from habitatrix.session import with_missing
 from habitatrix.sources.occurrences import require_columns
 
+# Fixed value of the file format: words that stand for a missing id.
 _MISSING_IDS = ("<NA>", "NA", "nan")
 
 
@@ -84,7 +85,7 @@ def parse_totals(lines: DataFrame) -> DataFrame:
         "folder",
         name.alias("focal_id"),
         F.element_at(words(got[0]), 1).alias("genus"),
-        F.array_join(F.slice(words(got[0]), 2, 1_000_000), " ").alias("species_n"),
+        F.array_join(F.filter(words(got[0]), lambda _, i: i >= 1), " ").alias("species_n"),
         got[1].try_cast("double").alias("No_obs"),
         got[2].try_cast("double").alias("No_asc_spp"),
         got[3].try_cast("double").alias("No_redlisted"),
@@ -106,9 +107,7 @@ def parse_locality_species(lines: DataFrame) -> DataFrame:
     header = (joined.contains("locality") & joined.contains("sweref")) | joined.startswith(
         "localityid"
     )
-    ids = F.filter(
-        F.slice("toks", 4, 1_000_000_000), lambda t: ~t.isin(*_MISSING_IDS)
-    )
+    ids = F.filter("toks", lambda t, i: (i >= 3) & ~t.isin(*_MISSING_IDS))
     return (
         lines.withColumn("toks", toks)
         .where((F.size("toks") > 0) & ~header)

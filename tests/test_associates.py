@@ -237,3 +237,26 @@ def test_bounds_are_safe(spark):
     assert safe.lat_max >= 69.05 - 1e-6
     assert safe.lat_max == pytest.approx(69.05, abs=1e-6)
     assert not math.isclose(narrow.lat_min, safe.lat_min, abs_tol=1e-6)
+
+
+def test_sample_without_record_keys_is_spread(spark):
+    from pyspark.sql import functions as F
+
+    for key in (F.lit(None).cast("string"), F.lit("same")):
+        focal = spark.range(4000).select(
+            F.lit("sp").alias("focal"), F.lit("v").alias("vern"), F.lit("1").alias("taxon"),
+            F.lit("L").alias("LocalityKey"), key.alias("row_key"),
+            F.col("id").cast("double").alias("E"), F.lit(0.0).alias("N"),
+        )
+        got = [r.E for r in A.sample_sites(focal, size=200).collect()]
+        assert len(got) == 200
+        assert 1600 < sum(got) / len(got) < 2400
+
+
+def test_text_coordinates_near_buffers(spark):
+    occ = spark.createDataFrame(
+        [("60.0", "15.0"), ("n/a", "15.0"), ("70.0", "15.0"), (None, None)],
+        "decimalLatitude string, decimalLongitude string",
+    )
+    bounds = spark.createDataFrame([(14.0, 59.0, 16.0, 61.0)], "lon_min double, lat_min double, lon_max double, lat_max double")
+    assert [r.decimalLatitude for r in A.near_buffers(occ, bounds).collect()] == ["60.0"]
