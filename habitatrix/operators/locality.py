@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from habitatrix import config as C
 from habitatrix.functions import stats, text
 from habitatrix.operators.ordering import ordinal
-from habitatrix.session import lookup
+from habitatrix.session import lookup, materialize
 
 _CELL = ["k_lat", "k_lon"]
 
@@ -35,6 +35,24 @@ def observations(occ: DataFrame, decimals: int = C.GRID_DECIMALS) -> DataFrame:
     )
 
 
+def observation_counts(obs: DataFrame) -> DataFrame:
+    """Records per (cell, day, taxon) as ``n``, written once.
+
+    Everything that stage 1 needs follows from this table, so the records are read
+    once.  A table that has ``n`` already is returned as it is.
+    """
+    if "n" in obs.columns:
+        return obs
+    counted = obs.groupBy(*_CELL, "lat_r", "lon_r", "date_s", "taxon_id").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    return materialize(counted, "observation-counts")
+
+
+def _records(obs: DataFrame) -> Column:
+    return F.sum("n") if "n" in obs.columns else F.count(F.lit(1))
+
+
 def with_locality_id(df: DataFrame) -> DataFrame:
     return df.withColumn("LocalityID", text.cell_key(F.col("k_lat"), F.col("k_lon")))
 
@@ -48,7 +66,7 @@ def locality_events(obs: DataFrame) -> DataFrame:
     per_taxon = (
         obs.where(F.col("date_s").isNotNull())
         .groupBy(*_CELL, "date_s", "taxon_id")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(_records(obs).alias("n"))
     )
     daily = per_taxon.groupBy(*_CELL, "date_s").agg(
         F.sum("n").alias("n_records"), F.count(F.lit(1)).alias("n_species")
@@ -116,7 +134,7 @@ def locality_core(
     """
     # raw coordinates as keys: only records with half a coordinate split further
     visits = obs.groupBy(*_CELL, "lat_r", "lon_r", "date_s").agg(
-        F.count(F.lit(1)).alias("n_records")
+        _records(obs).alias("n_records")
     )
     if ias is None or n2k is None:
         taxa = _taxa(obs).select(
@@ -226,6 +244,7 @@ def locality_master(
     obs: DataFrame, ias: DataFrame, n2k: DataFrame, assignments: DataFrame | None
 ) -> DataFrame:
     """The 23-column locality table."""
+    obs = observation_counts(obs)
     core = with_effort(locality_core(obs, ias, n2k))
     if assignments is None:
         placed = core.withColumns(

@@ -14,7 +14,8 @@ def build(
     spark: SparkSession, occurrence_path: str, ias_path: str, n2k_path: str, habitat_path: str
 ) -> tuple[DataFrame, DataFrame]:
     """(events, master)."""
-    obs = locality.observations(occurrences.read_occurrences(spark, occurrence_path))
+    records = locality.observations(occurrences.read_occurrences(spark, occurrence_path))
+    obs = locality.observation_counts(records)
     raw = lookups.read_habitat_assignments(spark, habitat_path)
     labels = None if raw is None else lookups.assignment_labels(raw)
     master = locality.locality_master(
