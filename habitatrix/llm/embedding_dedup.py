@@ -4,7 +4,8 @@ A filter is a direction, and holds the vectors whose cosine with it reaches a bo
 form random product codes: after a random rotation a vector is cut into sub-vectors, each part of a
 direction comes from a small code of unit vectors, and every combination is a direction.  A vector's
 filters are list-decoded: parts are tried from the best inner product down, and a branch ends where
-even the best remaining parts cannot reach the bound.  Vectors that share a filter are compared.
+even the best remaining parts cannot reach the bound.  A vector that few directions suit gets a lower
+bound of its own, so that each is in ``least`` filters.  Vectors that share a filter are compared.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from habitatrix.llm.tiles import into_tiles
 class Settings:
     cosine: float = 0.95
     per_vector: int = 24  # filters that a random vector is in, on average
+    least: int = 24  # filters that every vector is in
     per_filter: int = 64  # vectors that a filter would hold, were they spread evenly
     parts: int = 3
     seed: int = 7
@@ -49,18 +51,35 @@ def codes(dim: int, filters: int, s: Settings):
     return turn, cut, code, NormalDist().inv_cdf(1 - share) / np.sqrt(dim)
 
 
-def decode(vectors, turn, cut, code, bound):
-    """(vector, filter) of every filter that reaches the bound; at least each vector's best one."""
+def nth_best(products, n: int):
+    """The ``n``-th largest sum of one product from each part, for each vector.
+
+    A sum of the r-th, s-th, ... largest products of the parts is below r * s * ... - 1 others, so only
+    ranks whose product is at most ``n`` matter.
+    """
+    import numpy as np
+
+    ranked = [-np.sort(-p, axis=1) for p in products]
+    sums, product = ranked[0][:, :n], np.arange(1, ranked[0][:, :n].shape[1] + 1)
+    for p in ranked[1:]:
+        i, r = np.nonzero(product[:, None] * np.arange(1, p.shape[1] + 1) <= n)
+        sums, product = sums[:, i] + p[:, r], product[i] * (r + 1)
+    n = min(n, sums.shape[1])
+    return -np.partition(-sums, n - 1, axis=1)[:, n - 1]
+
+
+def decode(vectors, turn, cut, code, bound, least: int):
+    """(vector, filter) of every filter that reaches the bound, or a vector's ``least`` best ones."""
     import numpy as np
 
     x = vectors @ turn
     products = [x[:, c] @ w.T for c, w in zip(cut, code, strict=True)]
     best = [p.max(axis=1) for p in products]
+    bound = np.minimum(bound, nth_best(products, least) - 1e-12)
     row, key, total = np.arange(len(x)), np.zeros(len(x), dtype="int64"), np.zeros(len(x))
     for k, p in enumerate(products):
         rest = sum((b for b in best[k + 1 :]), np.zeros(len(x)))
-        # a vector's own best direction always passes
-        need = np.minimum(bound, sum(best, np.zeros(len(x))) - 1e-12)[row] - total - rest[row]
+        need = bound[row] - total - rest[row]
         i, word = np.nonzero(p[row] >= need[:, None])
         total = total[i] + p[row[i], word]
         key = key[i] * p.shape[1] + word
@@ -98,7 +117,7 @@ def _filters(count: int, s: Settings):
                     made[dim] = codes(dim, filters, s)
                 for at in range(0, len(x), 2048):
                     some = x[at : at + 2048]
-                    row, key = decode(some, *made[dim])
+                    row, key = decode(some, *made[dim], s.least)
                     raw = [v.tobytes() for v in some]
                     yield pa.RecordBatch.from_arrays(
                         [
