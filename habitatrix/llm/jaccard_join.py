@@ -7,8 +7,8 @@
    how much work there is, never the result.
 3. A shingle and a pair of neighbouring size bands name a tile, so every pair that can link meets in
    one.  Each member of a tile is compared with the tile's smallest class; what links, merges.
-4. Only tiles that still hold more than one component compare all members across components, in
-   blocks of bounded size.
+4. Only tiles that still hold more than one component compare all members across components.  Those
+   with the same smallest class are merged, and large ones are split into blocks of bounded size.
 5. A comparison first bounds the overlap from above by hashed bitmaps, as wide as the size band asks
    for: a bit of one set that the other lacks is at least one shingle that is not shared.  What passes
    is intersected exactly, as sorted arrays.
@@ -280,6 +280,20 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return full.select("a", "b", "hashes_a", "hashes_b").mapInArrow(_exact, "a bigint, b bigint")
 
 
+def _open(tiles: DataFrame, links: DataFrame) -> DataFrame:
+    """(h, tile, doc, root) of the tiles that hold several components; equal tiles once."""
+    roots = connected(links).select(F.col("node").alias("doc"), F.col("component").alias("root"))
+    rooted = tiles.select("h", "tile", "doc").join(roots, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
+    mixed = rooted.groupBy("h", "tile").agg(
+        F.min("root").alias("lo"),
+        F.max("root").alias("hi"),
+        F.count(F.lit(1)).alias("size"),
+        F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who"),
+    )
+    mixed = mixed.where("lo <> hi").groupBy("tile", "size", "who").agg(F.min("h").alias("h"))
+    return materialize(rooted.join(mixed.select("h", "tile"), ["h", "tile"]), "open-tiles")
+
+
 def components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs`` (``doc_id``, ``text``).
 
@@ -323,23 +337,16 @@ def components(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     sets = materialize(sets, "member-sets")
 
     near = tiles.where("doc <> leader").select(F.col("leader").alias("a"), F.col("doc").alias("b")).distinct()
-    near = materialize(near, "leader-pairs")
-    first_links = materialize(_linked(near, sets), "leader-links")
-    roots = connected(first_links).select(F.col("node").alias("doc"), F.col("component").alias("root"))
-    rooted = tiles.select("h", "tile", "doc").join(roots, "doc", "left").withColumn("root", F.coalesce("root", "doc"))
-    mixed = rooted.groupBy("h", "tile").agg(
-        F.min("root").alias("lo"),
-        F.max("root").alias("hi"),
-        F.count(F.lit(1)).alias("size"),
-        F.sum(F.xxhash64("doc").cast("decimal(38,0)")).alias("who"),
-    )
-    # Tiles with the same members are compared once.
-    mixed = mixed.where("lo <> hi").groupBy("tile", "size", "who").agg(F.min("h").alias("h"))
-    open_ = materialize(rooted.join(mixed.select("h", "tile"), ["h", "tile"]), "open-tiles")
-    dealt = into_tiles(open_, ["h", "tile"], "doc", s.block).join(sets.select("doc", "n", "bits"), "doc")
-    rest = dealt.groupBy("h", "tile", "_i", "_j").applyInPandas(_across, "a bigint, b bigint").distinct()
-    rest = rest.join(near, ["a", "b"], "left_anti")
-    links = first_links.unionByName(materialize(_linked(rest, sets), "block-links"))
+    tried = materialize(near, "leader-pairs")
+    links = materialize(_linked(tried, sets), "leader-links")
+    open_ = _open(tiles, links)
+    # Tiles with the same smallest member are merged: their members mostly are the same, too.
+    heads = open_.groupBy("h", "tile").agg(F.min("doc").alias("head"))
+    merged = open_.join(heads, ["h", "tile"]).select("head", "tile", "doc", "root").distinct()
+    dealt = into_tiles(merged, ["head", "tile"], "doc", s.block).join(sets.select("doc", "n", "bits"), "doc")
+    rest = dealt.groupBy("head", "tile", "_i", "_j").applyInPandas(_across, "a bigint, b bigint").distinct()
+    rest = materialize(rest.join(tried, ["a", "b"], "left_anti"), "block-pairs")
+    links = links.unionByName(materialize(_linked(rest, sets), "block-links"))
     found = connected(links).select(F.col("node").alias("doc"), "component")
     known = classes.join(found, "doc", "left").select(*key, F.coalesce("component", "doc").alias("component_id"))
     out = rows.join(known, key, "left")
