@@ -6,14 +6,16 @@ one in fourteen.
 
 1. Hashes of the anchors' 24 bytes are counted over documents; suffixes whose beginning is in one
    document only are dropped.
-2. What is left is range-partitioned, by sampled splitters, on the suffix's leading bytes and then on
+2. Suffixes that are equal, bytes before them included, need only hashes: all but the smallest document
+   repeat, and that one goes on if other suffixes begin with the same 24 bytes.
+3. What is left is range-partitioned, by sampled splitters, on the suffix's leading bytes and then on
    the bytes before it, read backwards.  Each bucket is sorted by multikey quicksort, eight bytes a
    key, and each window around an anchor is compared among the suffixes that begin alike.
-3. Suffixes that begin like the first or the last one of a bucket may go on in the next: their
+4. Suffixes that begin like the first or the last one of a bucket may go on in the next: their
    windows are compared across the boundary, by their whole bytes.  A beginning that very many
    suffixes share is split over buckets and ends up there too.
 
-Only the smallest document of equal suffixes in a batch is shuffled; the others are known to repeat.
+Of equal suffixes in a batch only the smallest document is compared; the others are known to repeat.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from habitatrix.llm.hashing import Spans, mix, powers
-from habitatrix.llm.tables import materialize, rows_by_bytes, ship, texts_of, whole_text
+from habitatrix.llm.tables import materialize, release, rows_by_bytes, ship, texts_of, whole_text
 
 WINDOW, GRAM = 50, 24
 SIDE = WINDOW - GRAM
@@ -180,8 +182,22 @@ def _members(column):
     return np.frombuffer(b"".join(column or ()), dtype="uint64")
 
 
-def _suffix_rows(bits: int):
-    """Distinct suffixes of a batch with their smallest document; the rest as known repeats."""
+def _by_document(doc, name):
+    """Document ids in order, with the names of each packed."""
+    import numpy as np
+
+    order = np.argsort(doc, kind="stable")
+    doc, name = doc[order], name[order]
+    first = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])[: len(doc)])
+    spans = zip(first.tolist(), [*first[1:].tolist(), len(doc)], strict=False)
+    return doc[first], [name[a:b].tobytes() for a, b in spans]
+
+
+def _named(bits: int):
+    """Hashes of the suffixes with a shared beginning, packed by bucket of that beginning.
+
+    ``again_…`` are those that a smaller document of the batch has too.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -195,26 +211,84 @@ def _suffix_rows(bits: int):
             for i, keys in enumerate(part.column(2).to_pylist()):
                 own = slice(at[i], at[i + 1])
                 keep[own] = np.isin(h[own], _members(keys))
-            where, row = where[keep], row[keep]
-            raw, name = suffixes(data, bounds, where, row)
+            where, row, h = where[keep], row[keep], h[keep]
+            if not len(where):
+                continue
+            _, name = suffixes(data, bounds, where, row)
             doc = np.asarray(part.column(0))[row]
-            order = np.lexsort((doc, name))
-            raw, name, doc = raw[order], name[order].view("int64"), doc[order]
-            new = np.append(True, name[1:] != name[:-1])[: len(name)]
-            least = doc[np.flatnonzero(new)][np.cumsum(new) - 1] if len(doc) else doc
-            kept = np.flatnonzero(new)
-            again = np.flatnonzero(doc > least)
-            again = again[np.append(True, (name[again][1:] != name[again][:-1]) | (doc[again][1:] != doc[again][:-1]))[: len(again)]]
-            text = [x.tobytes() for x in raw[kept]] + [None] * len(again)
-            some = np.concatenate([kept, again])
+            bucket = (h >> np.uint64(32)).astype("int64")
+            order = np.lexsort((doc, name, bucket))
+            name, doc, h, bucket = name[order].view("int64"), doc[order], h[order], bucket[order]
+            same = name[1:] == name[:-1]
+            new = np.append(True, ~same)
+            other = np.append(True, ~same | (doc[1:] != doc[:-1]))
+            first = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            columns: list[list] = [[] for _ in range(5)]
+            for a, b in zip(first.tolist(), [*first[1:].tolist(), len(h)], strict=True):
+                kept = a + np.flatnonzero(new[a:b])
+                rest = a + np.flatnonzero(~new[a:b] & other[a:b])
+                for to, x in zip(columns, (h[kept], name[kept], doc[kept], name[rest], doc[rest]), strict=True):
+                    to.append(x.tobytes())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(text, pa.binary()), pa.array(name[some]), pa.array(doc[some])],
-                names=["suffix", "name", "doc_id"],
+                [pa.array(bucket[first].astype("int32")), *(pa.array(c, pa.binary()) for c in columns)],
+                names=["bucket", "grams", "names", "docs", "again_names", "again_docs"],
             )
 
     return run
 
 
+def _resolved(pdf):
+    """Names that repeat a smaller document's, and those that must be compared by their bytes."""
+    import numpy as np
+    import pandas as pd
+
+    kinds = (("grams", "uint64"), ("names", "int64"), ("docs", "int64"), ("again_names", "int64"), ("again_docs", "int64"))
+    gram, name, doc, again, again_doc = (np.frombuffer(b"".join(pdf[c]), dtype=t) for c, t in kinds)
+    order = np.lexsort((doc, name, gram))
+    gram, name, doc = gram[order], name[order], doc[order]
+    begin = np.append(True, gram[1:] != gram[:-1])
+    new = begin | np.append(True, name[1:] != name[:-1])
+    least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+    group = np.cumsum(begin) - 1
+    several = (np.bincount(group, new) > 1)[group]
+    more = doc > least
+    out = []
+    for need, d, n in (
+        (False, np.concatenate([doc[more], again_doc]), np.concatenate([name[more], again])),
+        (True, doc[new & several], name[new & several]),
+    ):
+        ids, packed = _by_document(d, n)
+        out.append(pd.DataFrame({"doc_id": ids, "names": packed, "need": need}))
+    return pd.concat(out)
+
+
+def _suffix_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The suffixes whose names a document was asked for."""
+    import numpy as np
+
+    for part in rows_by_bytes(batches, "_text", SLICE):
+        data, bounds = texts_of(part, "_text")
+        where, _, row = anchors(data, bounds)
+        raw, name = suffixes(data, bounds, where, row)
+        keep = np.zeros(len(name), dtype=bool)
+        at = np.searchsorted(row, np.arange(part.num_rows + 1))
+        for i, asked in enumerate(part.column(2).to_pylist()):
+            own = slice(at[i], at[i + 1])
+            keep[own] = np.isin(name[own], _members(asked))
+        raw, name, row = raw[keep], name[keep].view("int64"), row[keep]
+        order = np.lexsort((name, row))
+        raw, name, row = raw[order], name[order], row[order]
+        new = np.append(True, (name[1:] != name[:-1]) | (row[1:] != row[:-1]))[: len(name)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([x.tobytes() for x in raw[new]], pa.binary()),
+                pa.array(name[new]),
+                pa.array(np.asarray(part.column(0))[row[new]]),
+            ],
+            names=["suffix", "name", "doc_id"],
+        )
+
+
 def _window_hashes(keys):
     """Hash of the window that begins ``o`` bytes before the anchor, for each suffix and ``o``."""
     import numpy as np
@@ -300,15 +374,18 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         where, _, row = anchors(data, bounds)
         raw = np.zeros(len(data) + 1, dtype="int64")
         at = np.searchsorted(row, np.arange(part.num_rows + 1))
-        told = part.column(2).to_pylist()
-        wanted = [i for i in range(part.num_rows) if told[i]]
+        whole, told = part.column(2).to_pylist(), part.column(3).to_pylist()
+        wanted = [i for i in range(part.num_rows) if whole[i] or told[i]]
         for i in wanted:
             own = slice(at[i], at[i + 1])
             _, name = suffixes(data, bounds, where[own], row[own])
-            known = np.array([(t["name"], t["bits"]) for t in told[i]], dtype="int64")
+            name = name.view("int64")
+            bits = np.where(np.isin(name, _members(whole[i]).view("int64")), EVERY, 0)
+            known = np.array([(t["name"], t["bits"]) for t in told[i] or ()], dtype="int64").reshape(-1, 2)
             known = known[np.argsort(known[:, 0])]
-            place = np.minimum(np.searchsorted(known[:, 0], name.view("int64")), len(known) - 1)
-            bits = np.where(known[place, 0] == name.view("int64"), known[place, 1], 0)
+            if len(known):
+                place = np.minimum(np.searchsorted(known[:, 0], name), len(known) - 1)
+                bits |= np.where(known[place, 0] == name, known[place, 1], 0)
             for o in range(SIDE + 1):
                 begin = where[own][(bits >> o) & 1 != 0] - o
                 begin = begin[(begin >= bounds[i]) & (begin + WINDOW <= bounds[i + 1])]
@@ -353,22 +430,32 @@ def repeated_spans(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     counted = named.mapInArrow(_counted(bits), "bucket int, keys binary, docs binary")
     shared = materialize(counted.groupBy("bucket").applyInPandas(_shared, "doc_id bigint, keys binary"), "shared-anchors")
     by_doc = shared.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
-    rows = named.join(by_doc, "doc_id").mapInArrow(_suffix_rows(bits), "suffix binary, name bigint, doc_id bigint")
-    rows = materialize(rows, "suffixes")
-    sorted_ = rows.where("suffix IS NOT NULL")
-    ranges = max(8, -(-sorted_.count() // s.per_range))
-    told = sorted_.repartitionByRange(ranges, "suffix").mapInArrow(
+    packed = named.join(by_doc, "doc_id").mapInArrow(
+        _named(bits), "bucket int, grams binary, names binary, docs binary, again_names binary, again_docs binary"
+    )
+    resolved = packed.groupBy("bucket").applyInPandas(_resolved, "doc_id bigint, names binary, need boolean")
+    resolved = materialize(resolved, "resolved-suffixes")
+    del counted, by_doc, packed
+    release(spark)
+    asked = resolved.where("need")
+    n = asked.agg(F.coalesce(F.sum(F.octet_length("names")), F.lit(0))).first()[0] // 8
+    asked = asked.groupBy("doc_id").agg(F.collect_list("names").alias("asked"))
+    rows = named.join(asked, "doc_id").mapInArrow(_suffix_rows, "suffix binary, name bigint, doc_id bigint")
+    told = rows.repartitionByRange(max(8, -(-n // s.per_range)), "suffix").mapInArrow(
         _sorted_buckets, "doc_id bigint, name bigint, bits bigint, window binary"
     )
     told = materialize(told, "sorted-suffixes")
+    del rows, asked
+    release(spark)
     edges = told.where("window IS NOT NULL")
     least = edges.groupBy("window").agg(F.min("doc_id").alias("least"))
     across = edges.join(least, "window").where("least < doc_id").select("doc_id", "name", "bits")
     known = told.where("window IS NULL").select("doc_id", "name", "bits").unionByName(across)
-    again = rows.where("suffix IS NULL").select("doc_id", "name", F.lit(EVERY).cast("bigint").alias("bits"))
-    known = known.unionByName(again).groupBy("doc_id", "name").agg(F.bit_or("bits").alias("bits"))
-    by_doc = known.groupBy("doc_id").agg(F.collect_list(F.struct("name", "bits")).alias("told"))
-    by_doc = materialize(by_doc, "repeats")
+    known = known.groupBy("doc_id", "name").agg(F.bit_or("bits").alias("bits"))
+    known = known.groupBy("doc_id").agg(F.collect_list(F.struct("name", "bits")).alias("told"))
+    whole = resolved.where("NOT need").groupBy("doc_id").agg(F.collect_list("names").alias("whole"))
+    by_doc = materialize(whole.join(known, "doc_id", "full_outer").select("doc_id", "whole", "told"), "repeats")
+    release(spark)
     return named.join(by_doc, "doc_id", "left").mapInArrow(
         _removed,
         "doc_id bigint, n_bytes bigint, n_removed bigint, kept_sha256 string, "

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from habitatrix.session import materialize
 
-__all__ = ["held_out", "materialize", "read", "rows_by_bytes", "ship", "texts_of", "whole_text"]
+__all__ = ["held_out", "materialize", "read", "release", "rows_by_bytes", "ship", "texts_of", "whole_text"]
 
 #: Text that a numpy kernel takes at a time; its arrays are about 50 times as large.
 SLICE_BYTES = 1 << 21
@@ -36,6 +37,12 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(context.applicationId)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now, not at the driver's next collection."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
