@@ -37,7 +37,7 @@ SUFFIX = WINDOW + SIDE + 2  # suffix, bytes before it backwards, and how many th
 EVERY = (1 << (SIDE + 1)) - 1
 
 #: Text that a kernel takes at a time, and suffixes whose windows it hashes at a time.
-SLICE, BLOCK = 1 << 20, 10_000
+SLICE, BLOCK = 1 << 18, 10_000
 
 
 @dataclasses.dataclass(frozen=True)
