@@ -42,7 +42,7 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.deduplicate(read(spark, sf_dir, "documents").select("doc_id", "text"), line_dedup.WHOLE)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,3 +236,36 @@ def test_fingerprints_are_majorities(spark, n):
     words = spark.createDataFrame([(w,) for w in text.split()], "w string").selectExpr("xxhash64(w) x").collect()
     want = sum(1 << b for b in range(63) if 2 * sum((r.x >> b) & 1 for r in words) > n)
     assert fingerprint(spark, [text])[0] == want
+
+
+def planted(rng, n, change):
+    """A line of n words, and a copy with one other letter or word, or with letters changed up to the limit."""
+    words = ["".join(rng.choice("abcdefghijklmnopqrst") for _ in range(rng.randint(2, 9))) for _ in range(n)]
+    line, other = " ".join(words), list(words)
+    if change == "word":
+        k = rng.randrange(n)
+        other[k] = "".join(rng.choice("uvwxyz") for _ in words[k])
+    letters = list(" ".join(other))
+    if change != "word":
+        at = [i for i, c in enumerate(letters) if c != " "]
+        for i in rng.sample(at, 1 if change == "letter" else max(1, len(letters) // 20)):
+            letters[i] = "z"
+    copy = "".join(letters)
+    return (line, copy) if edit_distance(line, copy) <= int(0.1 * len(line) + 1e-9) else planted(rng, n, change)
+
+
+def test_line_dedup_recall_by_edit_distance_alone(spark):
+    rng = random.Random(11)
+    kinds = [(n, c) for n in (5, 10, 20, 50) for c in ("letter", "word", "letters")]
+    rows, kind_of = [], {}
+    for kind in kinds:
+        for _ in range(60):
+            for line in planted(rng, *kind):
+                rows.append((len(rows), line))
+            kind_of[len(rows) - 1] = kind
+    got = line_dedup.deduplicate(spark.createDataFrame(rows, TEXT), line_dedup.WHOLE).collect()
+    gone = {r.doc_id for r in got if r.n_removed}
+    assert gone <= set(kind_of), "a line without a copy before it was removed"
+    recall = {k: sum(i in gone for i in kind_of if kind_of[i] == k) / 60 for k in kinds}
+    print(recall)
+    assert all(v >= (0.9 if c == "letters" else 0.97) for (_, c), v in recall.items()), recall
