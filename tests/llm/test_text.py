@@ -269,3 +269,26 @@ def test_line_dedup_recall_by_edit_distance_alone(spark):
     recall = {k: sum(i in gone for i in kind_of if kind_of[i] == k) / 60 for k in kinds}
     print(recall)
     assert all(v >= (0.9 if c == "letters" else 0.97) for (_, c), v in recall.items()), recall
+
+
+def test_line_dedup_without_blanks(spark):
+    rng = random.Random(12)
+
+    def signs(first, n):
+        return "".join(chr(first + rng.randrange(300)) for _ in range(n))
+
+    han, long_han = signs(0x4E00, 13), signs(0x5E00, 80)
+    thai = "".join(chr(0x0E01 + rng.randrange(40)) for _ in range(40))
+    latin = "".join(rng.choice("abcdefgh") for _ in range(60))
+    pairs = [
+        (han, han),
+        (long_han, long_han[:40] + "\u4e8c" + long_han[41:]),
+        (thai, thai[:-1] + "\u0e2e"),
+        (latin, latin[:30] + "z" + latin[31:]),
+        ("one\u3000two\u00a0three four", "one two, three\u3002four"),
+        ("unsubscribe immediately", "Unsubscribe immediately"),
+    ]
+    rows = [(2 * i + k, line) for i, pair in enumerate(pairs) for k, line in enumerate(pair)]
+    rows += [(50, "two words"), (51, "two words"), (52, "\u4e8c\u4e09"), (53, "\u4e8c\u4e09")]
+    got = line_dedup.deduplicate(spark.createDataFrame(rows, TEXT), line_dedup.WHOLE).collect()
+    assert {r.doc_id for r in got if r.n_removed} == {2 * i + 1 for i in range(len(pairs))}
