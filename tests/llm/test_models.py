@@ -113,3 +113,22 @@ def test_pipeline(spark, corpus, tmp_path):
     assert 1001 in near and 1001 not in clean and set(clean) == set(near) - {1001}
     assert set(packed) == set(clean)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == now.count()
+
+
+def test_pipeline_drops_lines_with_one_change(spark):
+    rng = random.Random(31)
+    rows, copies = [], {}
+    for i, (n, change) in enumerate((n, c) for n in (5, 10, 20, 30) for c in ("letter", "word") for _ in range(5)):
+        words = prose(rng, "bb", n).split()
+        words[0] = "zusammenfassung"
+        other, k = list(words), rng.randrange(1, n)
+        # one other letter, or a word of two letters for another one
+        words[k], other[k] = ("ab", "xy") if change == "word" else ("einkeit", "einkeix")
+        rows += [(2 * i, prose(rng, "bb", 40) + "\n" + " ".join(words)), (2 * i + 1, " ".join(other) + "\n" + prose(rng, "bb", 40))]
+        copies[2 * i + 1] = " ".join(other)
+    docs = spark.createDataFrame([(i, t, "bb", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = {r.doc_id: r for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    found = sum(line not in got[i].text for i, line in copies.items())
+    assert found >= 0.97 * len(copies)
+    assert all(got[i].text == t for i, t in rows if i not in copies)
+    assert all(r.n_chars == len(r.text) for r in got.values())
