@@ -86,6 +86,8 @@ def _train(s: Settings):
                 key = ids[i] if ids[i] is not None else -1
                 examples.append((key, label[i], weight[i], f, first[at[i] : at[i + 1]] - word[at[i]]))
         examples.sort(key=lambda e: (e[0], e[1], len(e[3])))
+        # Rows that each sampled one stands for, 1 on average: the fit sees the table's share of each label.
+        mean = np.mean([e[2] for e in examples])
         seen = np.zeros(1 << BITS, dtype="int32")
         for e in examples:
             seen[np.unique(e[3])] += 1
@@ -109,6 +111,7 @@ def _train(s: Settings):
                 y = np.array([e[1] for e in some])
                 # slope of the negative log likelihood in a sentence's logit
                 pull = np.where(y == 1, -clean / np.maximum(1 - clean, 1e-9), 1.0)
+                pull = pull * np.array([e[2] for e in some]) / mean
                 g = np.repeat(pull, n) * p
                 per_word = np.repeat(g, np.diff(np.append(first, len(f))))
                 at, back = np.unique(f.ravel(), return_inverse=True)
@@ -157,7 +160,7 @@ def score(
 
     ``offending`` lists the sentences with a probability of ``threshold`` or more, as byte ranges of
     the UTF-8 text.  Learns from rows that are not held out and whose label is 0 or 1: a bounded
-    sample of about ``per_label`` rows of each, fitted in one task.  Texts without a word score 0;
+    sample of about ``per_label`` rows of each, weighted by the rows it stands for, fitted in one task.  Texts without a word score 0;
     without labels of both kinds every score is 0.
     """
     import numpy as np

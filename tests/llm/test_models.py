@@ -82,6 +82,32 @@ def test_offending_sentences(spark, corpus):
     assert all("." not in s for s in found)
 
 
+def test_thinned_labels_keep_the_prior(spark):
+    # "grey" is in every toxic and in a quarter of nine times as many clean documents
+    rng = random.Random(21)
+    rows, labels = [], []
+    for i in range(3000):
+        toxic = int(rng.random() < 0.1)
+        words = prose(rng, "aa", 6).split()
+        if toxic or rng.random() < 0.25:
+            words.insert(rng.randrange(7), "grey")
+        if toxic and rng.random() < 0.5:
+            words.insert(0, "vile")
+        rows.append((i, " ".join(words)))
+        labels.append((i, toxic))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    known = spark.createDataFrame(labels, "doc_id bigint, toxic int")
+    figures = []
+    for per_label in (10_000, 200):
+        got = toxicity.score(docs, known, settings=toxicity.Settings(per_label=per_label, batch=8)).where("held_out")
+        found = [(r.score >= 0.5, labels[r.doc_id][1]) for r in got.collect()]
+        hits = sum(flagged and y for flagged, y in found)
+        figures.append((hits / max(1, sum(f for f, _ in found)), hits / sum(y for _, y in found)))
+    print(figures)
+    (precision, recall), (thin_precision, thin_recall) = figures
+    assert thin_precision >= precision - 0.15 and abs(thin_recall - recall) <= 0.15
+
+
 def test_pipeline(spark, corpus, tmp_path):
     docs, _ = corpus
     rng = random.Random(2)
