@@ -64,6 +64,15 @@ def test_token_counts_and_cache(spark, tmp_path):
     assert token_counts.count_tokens(docs.limit(0), PIECES).count() == 0
 
 
+def test_token_counts_of_an_id_with_a_copy_and_another_text(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "x"), (2, "x"), (2, "y z")], TEXT)
+    model = chunked.opened(chunked.PieceCounter, PIECES).model
+    for _ in range(2):
+        got = token_counts.count_tokens(docs, PIECES, str(tmp_path / "cache")).collect()
+        want = [(1, len(model.encode("x"))), (2, len(model.encode("x"))), (2, len(model.encode("y z")))]
+        assert sorted((r.doc_id, r.n_tokens) for r in got) == sorted(want)
+
+
 def test_packing(spark):
     rng = random.Random(1)
     rows = [(i, " ".join("word" for _ in range(rng.choice([0, 3, 40, 90, 150, 400])))) for i in range(60)]
