@@ -78,17 +78,20 @@ def count_tokens(
         .agg(F.min(id_column).alias("_first"))
         .join(stored.select("digest", F.lit(True).alias("_hit")), "digest", "left")
     )
-    # Rows whose text need not be encoded: known content, and later copies of new content.
+    # Ids of which no text need be encoded: known content, and later copies of new content.
+    known = F.col("_hit").isNotNull() | F.coalesce(F.col(id_column) != F.col("_first"), F.lit(False))
     spared = (
         keys.join(first, "digest")
-        .where(F.col("_hit").isNotNull() | (F.col(id_column) != F.col("_first")))
-        .select(F.col(id_column).alias("_id"), "digest")
-        .distinct()
+        .groupBy(F.col(id_column).alias("_id"))
+        .agg(F.bool_and(known).alias("_known"))
+        .where("_known")
+        .select("_id")
     )
     spared = materialize(spared, "token-spared")
-    # An id may have several texts, of which only some are spared.
-    todo = docs.select(F.col(f"`{id_column}`").alias("_id"), digest.alias("digest"), text.alias("_text"))
-    todo = todo.join(spared, ["_id", "digest"], "left_anti").select("digest", "_text")
+    todo = docs.select(F.col(f"`{id_column}`").alias("_id"), text.alias("_text")).join(
+        spared, "_id", "left_anti"
+    )
+    todo = todo.select(F.unhex(F.sha2(F.col("_text").cast("binary"), 256)).alias("digest"), "_text")
     new = todo.mapInArrow(_counter(model), "digest binary, n_tokens bigint")
     # ids may repeat or be NULL, so a known digest can come again
     new = new.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")).join(stored, "digest", "left_anti")
