@@ -182,6 +182,101 @@ FROM (SELECT DISTINCT {_folder('focal', 'run')} AS folder, taxon_id FROM kept) k
     }
 
 
+def _spot(total: str, *parts: str) -> str:
+    """Position below ``total`` from the first 52 bits of a digest."""
+    text = " || '|' || ".join(parts)
+    share = f"CAST(('0x' || substr(md5({text}),1,13)) AS BIGINT)/4503599627370496e0"
+    return f"least(CAST(floor({share}*CAST({total} AS DOUBLE)) AS BIGINT), {total}-1)"
+
+
+def _intervals(stage: str, tau: str) -> dict[str, str]:
+    """Bootstrap from ``u`` (folder, n_focal, n_background), ``fo`` and ``pr`` (focal and background rows)."""
+    tag = f"'42|{stage}"
+    sums = ", ".join(
+        ["CAST(SUM(wf) AS BIGINT) AS nw"]
+        + [f"CAST(SUM(CASE WHEN lvl>{t} THEN wf ELSE 0 END) AS BIGINT) AS c{t}" for t in range(5)]
+    )
+    units = ", ".join(f"CAST(SUM({c}) AS DOUBLE)/1e9 AS {c}" for c in _SUMS if c != "n")
+
+    def from_start(group: str, order: str) -> str:
+        return (
+            f"CAST(SUM(wf) OVER (PARTITION BY {group} ORDER BY {order} ROWS UNBOUNDED PRECEDING) AS BIGINT)-wf AS lo, "
+            f"CAST(SUM(wf) OVER (PARTITION BY {group}) AS BIGINT) AS total"
+        )
+
+    return {
+        "fr": f"SELECT *, {from_start('folder', 'key, lvl, wf, stratum')}, row_number() OVER (PARTITION BY folder ORDER BY key, lvl, wf, stratum) AS idx FROM fo",
+        "fd": f"SELECT folder, rep, {_spot('total', tag + '|focal' + chr(39), 'folder', 'rep', 'idx')} AS spot FROM fr CROSS JOIN (SELECT unnest(range(50)) AS rep) q",
+        "ft": f"""
+SELECT d.folder, d.rep, r.stratum, COUNT(*) AS k, {sums} FROM fd d ASOF JOIN (SELECT folder, lo, wf, lvl, stratum FROM fr WHERE wf>0) r
+ ON d.folder=r.folder AND d.spot>=r.lo GROUP BY 1,2,3""",
+        "al": """
+SELECT f.*, available, least(n_background, 1000) AS draw_size, CASE WHEN available>0 THEN CAST(round_even(CAST(k AS DOUBLE)/
+ CAST(SUM(k) OVER (PARTITION BY f.folder, rep) AS DOUBLE)*least(n_background, 1000),0) AS BIGINT) ELSE 0 END AS alloc
+FROM ft f JOIN u ON u.folder=f.folder LEFT JOIN (SELECT folder, stratum, COUNT(*) AS available FROM pr GROUP BY 1,2) a
+ ON a.folder=f.folder AND a.stratum=f.stratum""",
+        "br": "SELECT *, row_number() OVER (PARTITION BY folder, stratum ORDER BY owner, key, lvl, wf) AS r FROM pr",
+        "pk": f"""
+SELECT folder, rep, stratum, j, {_spot('available', tag + '|pick' + chr(39), 'folder', 'rep', 'stratum', 'j')}+1 AS r
+FROM (SELECT *, unnest(range(1, alloc+1)) AS j FROM al WHERE alloc>0) q""",
+        "dr": f"SELECT folder, rep, stratum, j, wf, lvl, {from_start('folder, rep', 'stratum, j')} FROM pk JOIN br USING (folder, stratum, r)",
+        "rd": f"SELECT folder, rep, {_spot('total', tag + '|redraw' + chr(39), 'folder', 'rep', 'stratum', 'j')} AS spot FROM dr",
+        "bt": f"""
+SELECT d.folder, d.rep, {sums} FROM rd d ASOF JOIN (SELECT folder, rep, lo, wf, lvl FROM dr WHERE wf>0) r
+ ON d.folder=r.folder AND d.rep=r.rep AND d.spot>=r.lo GROUP BY 1,2""",
+        "lost": "SELECT folder, rep, MAX(draw_size) AS draw_size FROM al GROUP BY 1,2 HAVING MAX(alloc)=0",
+        "gr": f"SELECT folder, wf, lvl, {from_start('folder', 'stratum, owner, key, lvl, wf')} FROM pr",
+        "gd": f"""
+SELECT folder, rep, {_spot('total', tag + '|global' + chr(39), 'folder', 'rep', 'j')} AS spot
+FROM (SELECT *, unnest(range(1, draw_size+1)) AS j FROM lost JOIN (SELECT DISTINCT folder, total FROM gr) t USING (folder)) q""",
+        "gt": f"""
+SELECT d.folder, d.rep, {sums} FROM gd d ASOF JOIN (SELECT folder, lo, wf, lvl FROM gr WHERE wf>0) r
+ ON d.folder=r.folder AND d.spot>=r.lo GROUP BY 1,2""",
+        "fs": f"SELECT folder, rep, {units} FROM ft GROUP BY 1,2",
+        "bs": f"SELECT folder, rep, {units} FROM (SELECT * FROM bt UNION ALL SELECT * FROM gt) q GROUP BY 1,2",
+        "boot": f"SELECT f.folder, {_metrics('f', 'b', tau)} FROM fs f JOIN bs b ON b.folder=f.folder AND b.rep=f.rep",
+    }
+
+
+def _ends(*names: str) -> str:
+    return ", ".join(
+        f"round(quantile_cont({column},{at}),6) AS {name}_CI_{end}"
+        for column, name in (n.split(":") for n in names)
+        for end, at in (("low", "0.025"), ("high", "0.975"))
+    )
+
+
+_LEVEL = "+".join(f"CAST({{v}}>{t} AS INTEGER)" for t in range(5))
+
+
+def _boot_row(value: str) -> str:
+    return (
+        f"LocalityID AS key, {_LEVEL.format(v=value)} AS lvl, CAST(effort_stratum AS BIGINT) AS stratum, "
+        "CAST(floor(greatest(w_inv,0e0)*1000000000e0+0.5e0) AS BIGINT) AS wf"
+    )
+
+
+def _a1_intervals() -> dict[str, str]:
+    row = _boot_row("value")
+    return {
+        "u": "SELECT folder, main_hab AS pool, n_focal, n_background FROM a1 WHERE A1_debug LIKE 'OK%'",
+        "fo": f"SELECT folder, {row} FROM fl WHERE folder IN (SELECT folder FROM u)",
+        "pr": f"SELECT u.folder, o.folder AS owner, {row} FROM u JOIN fl o ON o.dominant_habitat=u.pool AND o.folder<>u.folder",
+        **_intervals("a1", "0.3e0"),
+    }
+
+
+def _a5_intervals() -> dict[str, str]:
+    row = _boot_row("n2000_score")
+    return {
+        "u": "SELECT folder, n_in_pool AS n_focal, n_rest AS n_background FROM a5 WHERE A5_debug LIKE 'OK%'",
+        "sides": f"SELECT p.folder, p.own, {row} FROM (SELECT folder, own, LocalityID FROM pool WHERE folder IN (SELECT folder FROM u)) p JOIN lm USING (LocalityID)",
+        "fo": "SELECT folder, key, lvl, stratum, wf FROM sides WHERE own",
+        "pr": "SELECT folder, CAST(NULL AS VARCHAR) AS owner, key, lvl, stratum, wf FROM sides WHERE NOT own",
+        **_intervals("a5", "0.25e0"),
+    }
+
+
 def _robust(table: str, metric: str, z: str) -> str:
     """z-scores of one metric: per habitat, or global under five values."""
     return f"""
@@ -533,6 +628,14 @@ FROM (SELECT folder, pool, COUNT(*) AS np FROM pool GROUP BY 1,2) p LEFT JOIN a5
         s3,
         "SELECT folder, pool, n_in_pool, n_rest, round(mean_loglift,6) AS n2k_mean_loglift, A5_debug FROM a5",
     )
+    out["a1_ci"] = _sql(
+        {**s3, **_a1_intervals()},
+        f"SELECT folder, {_ends('mean_loglift:mean_loglift', 'lifted:lifted', 'frac:frac')} FROM boot GROUP BY folder",
+    )
+    out["a5_ci"] = _sql(
+        {**s3, **_a5_intervals()},
+        f"SELECT folder, {_ends('mean_loglift:n2k')} FROM boot GROUP BY folder",
+    )
     out["infer_habitat"] = _sql(
         {
             "raw": """

@@ -671,18 +671,22 @@ def habitat_purity(v: Views) -> DataFrame:
     )
 
 
+def _rounded_ends(cuts: DataFrame) -> DataFrame:
+    return cuts.select("folder", *r6(*[c for c in cuts.columns if c != "folder"]))
+
+
 @query
 def a1_ci(v: Views) -> DataFrame:
     focal, _, folders, _, _ = _stage3(v)
     points = materialize(enrichment.a1_point(focal, folders), "a1")
-    return bootstrap.a1_intervals(focal, points)
+    return _rounded_ends(bootstrap.a1_intervals(focal, points))
 
 
 @query
 def a5_ci(v: Views) -> DataFrame:
     focal, lm, folders, _, _ = _stage3(v)
     points = materialize(enrichment.a5_point(focal, lm, folders), "a5")
-    return bootstrap.a5_intervals(focal, lm, points)
+    return _rounded_ends(bootstrap.a5_intervals(focal, lm, points))
 
 
 @query

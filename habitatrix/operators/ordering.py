@@ -28,6 +28,13 @@ def running_sum(
 
     Sort directions are ascending with NULLs last inside a group.
     """
+    return running_sums(df, group, order, {out: value})
+
+
+def running_sums(
+    df: DataFrame, group: list[str], order: list[str], sums: dict[str, str]
+) -> DataFrame:
+    """Several running sums (new column: summed column) over one order, in one pass."""
     flags = [f"_null_{c}" for c in order]
     keyed = df.select("*", *[F.col(c).isNull().alias(f) for c, f in zip(order, flags)])
     keys = group + [k for pair in zip(flags, order) for k in pair]
@@ -38,24 +45,26 @@ def running_sum(
         .orderBy(*keys[len(group):])
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    part = cut.groupBy("_slice", *group).agg(F.sum(value).alias("_part"))
+    part = cut.groupBy("_slice", *group).agg(*[F.sum(v).alias(f"_part_{k}") for k, v in sums.items()])
     before = Window.orderBy("_slice") if not group else Window.partitionBy(*group).orderBy("_slice")
     # a group has at most one row per slice here
     offsets = part.select(
         F.col("_slice").alias("_o_slice"),
         *[F.col(g).alias(f"_o_{g}") for g in group],
-        F.sum("_part")
-        .over(before.rowsBetween(Window.unboundedPreceding, -1))
-        .alias("_before"),
+        *[
+            F.sum(f"_part_{k}").over(before.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_before_{k}")
+            for k in sums
+        ],
     )
     cond = F.col("_slice") == F.col("_o_slice")
     for g in group:
         cond = cond & F.col(g).eqNullSafe(F.col(f"_o_{g}"))
-    summed = cut.withColumn("_inside", F.sum(value).over(inside))
-    zero = F.lit(0).cast(part.schema["_part"].dataType)
-    return summed.join(offsets, cond, "inner").select(
-        *df.columns, (F.col("_inside") + F.coalesce("_before", zero)).alias(out)
-    )
+    summed = cut.withColumns({f"_inside_{k}": F.sum(v).over(inside) for k, v in sums.items()})
+    totals = []
+    for k in sums:
+        zero = F.lit(0).cast(part.schema[f"_part_{k}"].dataType)
+        totals.append((F.col(f"_inside_{k}") + F.coalesce(f"_before_{k}", zero)).alias(k))
+    return summed.join(offsets, cond, "inner").select(*df.columns, *totals)
 
 
 def ordinal(df: DataFrame, group: list[str], order: list[str], out: str) -> DataFrame:
