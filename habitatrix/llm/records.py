@@ -152,8 +152,24 @@ class Written(WriterCommitMessage):
 
 
 class RecordWriter(DataSourceArrowWriter):
+    """Writes (``doc_id``, ``ids``) or, with a tokenizer file as ``model``, (``doc_id``, ``text``).
+
+    A text becomes ids, with ``end_id`` after them, where it is written: no other process holds them.
+    """
+
     def __init__(self, options, overwrite: bool):
         self.path, self.width, self.overwrite = options["path"], int(options.get("width", 4)), overwrite
+        self.model, self.end_id = options.get("model"), int(options.get("end_id", 0))
+
+    def _parts(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if self.model is None:
+            yield from rows_by_bytes([batch], "ids")
+            return
+        encoder, end = opened(ByteEncoder, self.model), self.end_id.to_bytes(4, "little")
+        for part in rows_by_bytes([batch], "text"):
+            ids = encoder.encode(part.column("text").to_pylist(), *texts_of(part, "text"))
+            made = pa.array([i + end for i in ids], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), made], names=["doc_id", "ids"])
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         import numpy as np
@@ -169,7 +185,7 @@ class RecordWriter(DataSourceArrowWriter):
             fs.open_output_stream(f"{folder}/{name}.index") as index,
         ):
             for whole in iterator:
-                for batch in rows_by_bytes([whole], "ids"):
+                for batch in self._parts(whole):
                     data, bounds = texts_of(batch, "ids")
                     doc = batch.column(batch.schema.get_field_index("doc_id"))
                     known = doc.is_valid().to_numpy(zero_copy_only=False)
@@ -389,19 +405,6 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(TokenRecords)
 
 
-def _encoded(model: str, end_id: int):
-    end = end_id.to_bytes(4, "little")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = opened(ByteEncoder, model)
-        for part in rows_by_bytes(batches, "_text"):
-            ids = encoder.encode(part.column(1).to_pylist(), *texts_of(part, "_text"))
-            made = pa.array([i + end for i in ids], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column(0), made], names=["doc_id", "ids"])
-
-    return run
-
-
 def write(docs: DataFrame, model: str, path: str, end_id: int = 0, width: int = 4, overwrite: bool = False) -> None:
     """Write the ids of every whole text, and ``end_id`` after them, in ascending order of ``doc_id``.
 
@@ -415,15 +418,15 @@ def write(docs: DataFrame, model: str, path: str, end_id: int = 0, width: int =
     register(spark)
     if docs.schema["doc_id"].dataType.typeName() not in ("byte", "short", "integer", "long"):
         raise TypeError("records hold 64-bit document ids")
-    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("_text"))
-    size = narrow.agg(F.sum(F.octet_length("_text").cast("bigint"))).first()[0] or 0
+    narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text"))
+    size = narrow.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
     wanted = min(int(spark.conf.get("spark.sql.shuffle.partitions")), size // LEAST_FILE_BYTES)
     files = max(1, wanted, -(-size // FILE_BYTES))
-    keys = [F.asc_nulls_last("doc_id"), F.xxhash64("_text")]
+    keys = [F.asc_nulls_last("doc_id"), F.xxhash64("text")]
     placed = narrow.repartitionByRange(files, *keys).sortWithinPartitions(*keys)
-    made = placed.mapInArrow(_encoded(model, end_id), "doc_id bigint, ids binary")
     mode = "overwrite" if overwrite else "append"
-    made.write.format(FORMAT).option("width", width).mode(mode).save(path)
+    told = {"width": width, "model": model, "end_id": end_id}
+    placed.write.format(FORMAT).options(**told).mode(mode).save(path)
 
 
 def read(spark: SparkSession, path: str, seed: int | None = None) -> DataFrame:
