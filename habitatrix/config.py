@@ -77,6 +77,53 @@ SUBSAMPLE_MIN = 30
 SUBSAMPLE_MAX = 80
 SUBSAMPLE_SEED = SEED + 123
 
+# Fixed value: columns of the progress table and, where ours has another name, that name.
+PROGRESS_COLUMNS = (
+    ("timestamp", None),
+    ("folder", None),
+    ("focal_id", None),
+    ("main_habitat", "main_hab"),
+    ("No_obs", None),
+    ("No_asc_spp", None),
+    ("No_redlisted", None),
+    ("Habitat_purity", None),
+    ("LSA_debug", None),
+    ("LSA_m_localities", None),
+    ("LSA_j_subsample", None),
+    ("LSA_repeats", None),
+    ("gamma_unique_species_mean", None),
+    ("gamma_unique_species_sd", None),
+    ("gamma_cv", None),
+    ("gamma_norm_range", None),
+    ("gamma_unique_species_min", None),
+    ("gamma_unique_species_max", None),
+    ("gamma_unique_species_range", None),
+    ("alpha_mean_spp_per_locality_mean", None),
+    ("alpha_mean_spp_per_locality_sd", None),
+    ("alpha_cv", None),
+    ("alpha_norm_range", None),
+    ("alpha_mean_spp_per_locality_min", None),
+    ("alpha_mean_spp_per_locality_max", None),
+    ("alpha_mean_spp_per_locality_range", None),
+    ("mean_loglift_0to4", "mean_loglift"),
+    ("mean_loglift_0to4_CI_low", "mean_loglift_CI_low"),
+    ("mean_loglift_0to4_CI_high", "mean_loglift_CI_high"),
+    ("lifted_PM_tau0.30", "lifted"),
+    ("lifted_PM_tau0.30_CI_low", "lifted_CI_low"),
+    ("lifted_PM_tau0.30_CI_high", "lifted_CI_high"),
+    ("frac_enriched_tau0.30", "frac"),
+    ("frac_enriched_tau0.30_CI_low", "frac_CI_low"),
+    ("frac_enriched_tau0.30_CI_high", "frac_CI_high"),
+    ("N2000_mean_loglift_0to4", "n2k_mean_loglift"),
+    ("N2000_CI_low", "n2k_CI_low"),
+    ("N2000_CI_high", "n2k_CI_high"),
+    ("N_focal_localities", "n_focal"),
+    ("N_background_localities", "n_background"),
+    ("N_LM_hab_localities", "n_pool_localities"),
+    ("A1_debug", None),
+    ("A5_debug", None),
+)
+
 TOO_FEW = "TOO_FEW_FOCAL_LOCALITIES"
 NO_BACKGROUND = "NO_BACKGROUND_LOCALITIES_SAME_HABITAT"
 NO_LM_ROWS = "NO_LM_ROWS_WITH_N2000_SCORE"

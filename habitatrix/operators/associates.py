@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from habitatrix import config as C
 from habitatrix.functions import geo, text
 from habitatrix.operators.ordering import grouped_median
-from habitatrix.session import lookup
+from habitatrix.session import lookup, materialize
 
 #: Grid cells around sampled sites: four numbers per row.
 _CELL_ROWS = 2_000_000
@@ -156,16 +156,36 @@ def sample_sites(
 ) -> DataFrame:
     """Up to ``size`` sites per run and species, drawn without replacement.
 
-    The smallest draw keys win.  Spark keeps only ``size`` rows per group in each
-    map task before it shuffles, so a dominant species stays cheap.  The position
-    is part of the draw, so records that share a key, or lack one, differ too.
+    The smallest draw keys win.  The position is part of the draw, so records that
+    share a key, or lack one, differ too.  Keys are spread evenly, so those below
+    a limit that about twice ``size`` records of a species pass hold the smallest
+    ones: a record is dropped where it is read, and what is sorted does not grow
+    with the species.  A run that the limit left short, which is all but
+    impossible, is drawn again without it.
     """
-    each = focal.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    counts = focal.groupBy("focal").agg(F.count(F.lit(1)).alias("_n"))
+    counts = lookup(materialize(counts, "focal-counts"))
+    share = F.lit(2.0 * size + 100) / F.col("_n")
+    # compared as text with the first eight digits of a key; "g" is above all of them
+    limit = F.when(share < 1, F.lpad(F.lower(F.hex(F.floor(share * float(1 << 32)).cast("bigint"))), 8, "0")).otherwise("g")
+    each = focal.join(counts, focal["focal"].eqNullSafe(counts["focal"])).drop(counts["focal"])
+    each = each.withColumn("run", F.explode(F.sequence(F.lit(1), F.lit(runs))))
     keyed = each.withColumn(
         "_draw", draw_key(seed, F.col("run"), F.col("row_key"), F.col("E"), F.col("N"))
     )
+    passed = materialize(keyed.where(F.col("_draw") < limit).drop("_n"), "draws")
+    whole = counts.select("focal", "_n", F.explode(F.sequence(F.lit(1), F.lit(runs))).alias("run"))
+    found = passed.groupBy(*_OWNER).agg(F.count(F.lit(1)).alias("_found"))
+    same = (F.col("w.run") == F.col("f.run")) & F.col("w.focal").eqNullSafe(F.col("f.focal"))
+    short = whole.alias("w").join(found.alias("f"), same, "left")
+    short = short.where(F.coalesce("_found", F.lit(0)) < F.least(F.lit(size), "_n")).select("w.run", "w.focal")
+    if short.limit(1).count():
+        again = lookup(materialize(short.select(F.col("run").alias("_run"), F.col("focal").alias("_focal")), "short"))
+        which = (F.col("run") == F.col("_run")) & F.col("focal").eqNullSafe(F.col("_focal"))
+        rest = passed.join(again, which, "left_anti")
+        passed = rest.unionByName(keyed.join(again, which, "left_semi").drop("_n"))
     order = Window.partitionBy(*_OWNER).orderBy("_draw", "row_key", "E", "N")
-    first = keyed.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= size)
+    first = passed.withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= size)
     return (
         _with_key(first)
         .select(

@@ -16,6 +16,7 @@ from habitatrix.functions import text
 from habitatrix.operators import associates as A
 from habitatrix.operators.region import in_region
 from habitatrix.session import lookup, materialize
+from habitatrix.sources.occurrences import file_position
 
 
 @dataclass
@@ -35,21 +36,24 @@ class Associates:
     def found(self) -> DataFrame:
         return A.finds(self.kept, self.sites, self.totals)
 
-    def foldered(self, df: DataFrame) -> DataFrame:
+    @property
+    def names(self) -> DataFrame:
+        """Base name of the export folder of each (run, focal)."""
+        pairs = self.sites.select("run", "focal").distinct()
+        return pairs.select(text.safe_name(F.col("focal")).alias("base"), "run", "focal")
+
+    def foldered(self, df: DataFrame, names: DataFrame | None = None) -> DataFrame:
         """Replace (run, focal) by the export folder.
 
-        The first user of a name gets it plain, later runs (and other species
-        with the same safe name) get a numbered suffix.
+        ``names`` gives the folders that were claimed for an export.  Without it the
+        first user of a name gets it plain, later runs (and other species with the
+        same safe name) get a numbered suffix.
         """
-        names = (
-            self.sites.select("run", "focal")
-            .distinct()
-            .withColumn("_base", text.safe_name(F.col("focal")))
-        )
-        order = Window.partitionBy("_base").orderBy("run", "focal")
-        named = names.withColumn("_use", F.row_number().over(order)).select(
-            "run", "focal", sinks.folder_name(F.col("_base"), F.col("_use")).alias("folder")
-        )
+        if names is None:
+            order = Window.partitionBy("base").orderBy("run", "focal")
+            used = self.names.withColumn("_use", F.row_number().over(order))
+            names = used.withColumn("folder", sinks.folder_name(F.col("base"), F.col("_use")))
+        named = names.select("run", "focal", "folder")
         return df.join(lookup(named), ["run", "focal"], "inner").drop("run")
 
 
@@ -116,9 +120,31 @@ def build_from_occurrences(
     return Associates(sites, contacts, hits, A.focal_totals(focal))
 
 
-def write(result: Associates, out: str) -> None:
-    """The seven text tables, each split by folder."""
-    found = materialize(result.foldered(result.found), "found")
+TABLES = (
+    "uniqueFinds",
+    "redFinds",
+    "totalTargetObs",
+    "allObservations",
+    "RedSpeciesLocal",
+    "LocalitySpecies_ALL",
+    "LocalitySpecies_RED",
+)
+
+#: Tables whose folders are one long line.
+ONE_LINE = ("allObservations",)
+
+
+def write(result: Associates, out: str) -> DataFrame:
+    """The seven text tables, each split by folder; returns (run, focal, folder).
+
+    Folder names are claimed, so what other runs wrote to ``out`` stays, also those at the same time.
+    """
+    names = materialize(sinks.claim_folders(result.names, out).select("run", "focal", "folder"), "folder-names")
+
+    def foldered(df: DataFrame) -> DataFrame:
+        return result.foldered(df, names)
+
+    found = materialize(foldered(result.found), "found")
 
     def named(column: str):
         return F.concat_ws(" ", "focal", F.array_join(column, " "))
@@ -128,9 +154,15 @@ def write(result: Associates, out: str) -> None:
     sinks.write_lines(
         found, f"{out}/totalTargetObs", F.concat_ws(" ", "focal", "focal_obs", "n_assoc", "n_red")
     )
-    every = result.foldered(A.all_observations(result.contacts, result.sites, result.kept))
-    sinks.write_lines(every, f"{out}/allObservations", F.concat_ws(" ", "focal", "taxon"))
-    red = result.foldered(A.red_species_local(result.contacts, result.sites))
+    every = foldered(A.all_observations(result.contacts, result.sites, result.kept))
+    sinks.write_lines(
+        every,
+        f"{out}/allObservations",
+        F.col("taxon"),
+        folders=found.select("folder", F.col("focal").alias("header")),
+        sep=" ",
+    )
+    red = foldered(A.red_species_local(result.contacts, result.sites))
     sinks.write_lines(
         red,
         f"{out}/RedSpeciesLocal",
@@ -138,33 +170,36 @@ def write(result: Associates, out: str) -> None:
         order=(F.col("LocalityID"),),
     )
     listed = F.concat_ws(" ", "LocalityID", "SWEREF_N", "SWEREF_E", F.array_join("ids", " "))
-    at_sites = result.foldered(A.locality_species_all(result.contacts, result.sites))
+    at_sites = foldered(A.locality_species_all(result.contacts, result.sites))
     sinks.write_lines(
         at_sites,
         f"{out}/LocalitySpecies_ALL",
         F.rtrim(listed),
         order=(F.col("fid"),),
         header=" ".join(C.SPECIES_LIST_HEADER),
-        folders=found,
+        folders=found.select("folder"),
     )
     tabbed = F.concat_ws("\t", "LocalityID", "SWEREF_N", "SWEREF_E", F.array_join("ids", " "))
-    per_locality = result.foldered(A.locality_species_red(result.contacts, result.sites))
+    per_locality = foldered(A.locality_species_red(result.contacts, result.sites))
     sinks.write_lines(
         per_locality,
         f"{out}/LocalitySpecies_RED",
         tabbed,
         order=(F.col("LocalityID"),),
         header="\t".join(C.SPECIES_LIST_HEADER),
-        folders=found,
+        folders=found.select("folder"),
     )
+    return names
+
+
+def export(spark: SparkSession, out: str, dest: str) -> DataFrame:
+    """Tables that ``write`` made, as ``<dest>/<folder>/<table>.txt``; returns (folder, table, bytes)."""
+    return materialize(sinks.join_parts(spark, out, TABLES, dest), "exported")
 
 
 def read_lines(spark: SparkSession, out: str, table: str) -> DataFrame:
-    """Lines of one written table: ``folder, pos, line``."""
-    return (
-        # a folder may look like a number, so its type is not guessed
-        spark.read.schema("value string, folder string")
-        .text(f"{out}/{table}")
-        .withColumnRenamed("value", "line")
-        .select("folder", F.monotonically_increasing_id().alias("pos"), "line")
-    )
+    """Lines of one written table, or words of a table that is one line: ``folder, pos, line``."""
+    sep = " " if table in ONE_LINE else "\n"
+    # a folder may look like a number, so its type is not guessed
+    lines = spark.read.schema("value string, folder string").option("lineSep", sep).text(f"{out}/{table}")
+    return lines.select("folder", file_position().alias("pos"), F.col("value").alias("line"))

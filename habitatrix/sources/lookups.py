@@ -1,12 +1,13 @@
 """Semicolon / sniffed-delimiter lookup files.
 
-Everything is read as text and cast leniently.  ``_row`` keeps file order, which
-the "first row wins" rules of the habitat map need.
+Everything is read as text and cast leniently.  ``_row`` keeps the order of files and of rows in
+them, which the "first row wins" rules of the habitat map need.
 """
 
 from __future__ import annotations
 
 import csv
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from habitatrix import config as C
 from habitatrix.functions import text
 from habitatrix.session import with_missing
+from habitatrix.sources.occurrences import file_position
 
 _SNIFF_BYTES = 4096
 
@@ -23,24 +25,42 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def pick_encoding(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless some line is not valid UTF-8; then Latin-1."""
-    broken = spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).count()
-    return "ISO-8859-1" if broken else "UTF-8"
+def latin1_files(spark: SparkSession, path: str) -> tuple[list[str], bool]:
+    """Files below ``path`` with a line that is not valid UTF-8, and whether there are others.
+
+    A lookup is a few files; only their names are collected.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    found = lines.groupBy("file").agg(F.bool_and(F.coalesce(F.is_valid_utf8("value"), F.lit(True))).alias("fine")).collect()
+    # the reader takes paths, not the escaped names that it reports
+    bad = sorted(unquote(r.file) for r in found if not r.fine)
+    return bad, any(r.fine for r in found)
 
 
-def read_delimited(spark: SparkSession, path: str, sep: str = ";") -> DataFrame:
-    """All-text CSV with header.
+def read_delimited(spark: SparkSession, path: str, sep: str = ";", position: bool = False) -> DataFrame:
+    """All-text CSV with header; each file is UTF-8, or Latin-1 if it has a line that is not.
 
     Short rows are padded with NULL; rows with more fields than the header are
-    skipped (they show up in the surplus column).
+    skipped (they show up in the surplus column).  ``position`` adds the place of a row as ``_row``.
     """
-    reader = spark.read.option("sep", sep).option("header", True).option(
-        "encoding", pick_encoding(spark, path)
-    )
-    names = reader.csv(path).columns
+    bad, others = latin1_files(spark, path)
+    reader = spark.read.option("sep", sep).option("header", True)
+    names = reader.option("encoding", "UTF-8" if others or not bad else "ISO-8859-1").csv(path).columns
     fields = ", ".join(f"`{n}` string" for n in [*names, "_surplus"])
-    return reader.schema(fields).csv(path).where(F.col("_surplus").isNull()).drop("_surplus")
+    place = [file_position().alias("_row")] if position else []
+
+    def rows(encoding: str, where: str | list[str]) -> DataFrame:
+        return reader.option("encoding", encoding).schema(fields).csv(where).select("*", *place)
+
+    if not bad:
+        out = rows("UTF-8", path)
+    elif not others:
+        out = rows("ISO-8859-1", path)
+    else:
+        files = spark.read.text(path).select(F.col("_metadata.file_path").alias("f")).distinct().collect()
+        good = sorted({unquote(r.f) for r in files} - set(bad))
+        out = rows("UTF-8", good).unionByName(rows("ISO-8859-1", bad))
+    return out.where(F.col("_surplus").isNull()).drop("_surplus")
 
 
 def _padded(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
@@ -77,8 +97,9 @@ def read_habitat_assignments(spark: SparkSession, path: str) -> DataFrame | None
     if not _exists(spark, path):
         return None
     names = ("taxonID", "scientificName", "habitat")
-    raw = with_missing(read_delimited(spark, path), dict.fromkeys(names, "string"))
-    return raw.withColumn("_row", F.monotonically_increasing_id())
+    read = read_delimited(spark, path, position=True)
+    place = read.schema["_row"].dataType.simpleString()
+    return with_missing(read, dict.fromkeys(names, "string") | {"_row": place})
 
 
 def assignment_labels(raw: DataFrame) -> DataFrame:

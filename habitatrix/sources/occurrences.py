@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from habitatrix import config as C
 
@@ -35,3 +36,16 @@ def require_columns(df: DataFrame, names) -> DataFrame:
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     return df
+
+
+def file_position() -> Column:
+    """Sorts the rows of a text or CSV source by file, then by place in the file.
+
+    A split is read in order by one task, so its first byte and the running number of the task order
+    its rows, however splits are dealt to tasks.  Only the order has a meaning.
+    """
+    return F.struct(
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("row"),
+    )

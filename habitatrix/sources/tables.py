@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from habitatrix.session import with_missing
-from habitatrix.sources.occurrences import require_columns
+from habitatrix.operators.ordering import ordinal
+from habitatrix.sources.occurrences import file_position, require_columns
 
 # Fixed value of the file format: words that stand for a missing id.
 _MISSING_IDS = ("<NA>", "NA", "nan")
@@ -26,7 +27,7 @@ def read_folder_lines(spark: SparkSession, root: str, file_name: str) -> DataFra
     parts = F.split(F.col("_metadata.file_path"), "/")
     return lines.select(
         F.url_decode(F.element_at(parts, -2)).alias("folder"),
-        F.monotonically_increasing_id().alias("pos"),
+        file_position().alias("pos"),
         F.col("value").alias("line"),
     )
 
@@ -115,6 +116,12 @@ def parse_locality_species(lines: DataFrame) -> DataFrame:
     )
 
 
+def numbered(localities: DataFrame) -> DataFrame:
+    """``pos`` as a number from 0 in each folder, the same however the files are split."""
+    counted = ordinal(localities, ["folder"], ["pos"], "_number")
+    return counted.withColumn("pos", F.col("_number") - 1).drop("_number")
+
+
 # -- repeated runs ------------------------------------------------------------
 
 

@@ -122,11 +122,16 @@ def test_observation_filter(spark):
 
 
 def test_progress_log(spark, tmp_path):
-    rows = spark.createDataFrame([("f", 1.239, None)], "folder string, x double, y double")
-    for _ in range(2):
-        progress.append_progress(rows, str(tmp_path / "log"))
-    got = progress.read_progress(spark, str(tmp_path / "log")).collect()
-    assert [(r.folder, r.x, r.y) for r in got] == [("f", "1.24", "nan")] * 2
+    log = str(tmp_path / "log")
+    assert progress.read_progress(spark, log).count() == 0
+    rows = spark.createDataFrame([("007", 1.239, None), ("g", 2.0, 3.0)], "folder string, mean_loglift double, frac double")
+    for _ in range(2):  # a repeated job leaves every row once
+        progress.append_progress(rows, log)
+    progress.append_progress(rows.where("folder = 'g'").withColumn("folder", F.lit("a b/c")), log)
+    got = {r.folder: r for r in progress.read_progress(spark, log).collect()}
+    assert set(got) == {"007", "g", "a b/c"} and progress.read_progress(spark, log).count() == 3
+    assert got["007"]["mean_loglift_0to4"] == "1.24" and got["007"]["frac_enriched_tau0.30"] == "nan"
+    assert len(got["g"]) == 43 and list(got["g"].asDict())[:4] == ["timestamp", "folder", "focal_id", "main_habitat"]
     assert {"bootstraps", "w_habitat", "a"} <= {
         r.name for r in sinks.settings_table(spark, {"a": "b"}).collect()
     }
