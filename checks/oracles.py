@@ -683,11 +683,9 @@ FROM drawn d GROUP BY d.folder, d.rep""",
             f"round(MAX({x})-MIN({x}),6) AS {stem}_range"
         )
 
-    out["lsa_summary"] = _sql(
-        lsa,
-        f"""SELECT folder, 'OK' AS LSA_debug, MAX(m) AS LSA_m_localities, MAX(j) AS LSA_j_subsample, COUNT(*) AS LSA_repeats,
- {summary('gamma', 'gamma_unique_species', 'gamma')}, {summary('alpha', 'alpha_mean_spp_per_locality', 'alpha')} FROM reps GROUP BY folder""",
-    )
+    summed = f"""SELECT folder, 'OK' AS LSA_debug, MAX(m) AS LSA_m_localities, MAX(j) AS LSA_j_subsample, COUNT(*) AS LSA_repeats,
+ {summary('gamma', 'gamma_unique_species', 'gamma')}, {summary('alpha', 'alpha_mean_spp_per_locality', 'alpha')} FROM reps GROUP BY folder"""
+    out["lsa_summary"] = _sql(lsa, summed)
     zs = _r6(*_METRICS.values())
     out["robust_z"] = _sql(
         {**METRIC_ROWS, **_scored("metric_rows")}, f"SELECT folder, main_hab, {zs} FROM scored"
@@ -714,6 +712,21 @@ FROM fh h JOIN found d ON d.focal=h.focal AND d.run=h.run JOIN a1 ON a1.folder=h
         comp,
         f"""SELECT folder, focal_id, main_hab, No_obs, No_asc_spp, No_redlisted, n_focal, n_background, n_pool_localities,
  {_r6('Habitat_purity', 'mean_loglift', 'n2k_mean_loglift')}, {zs}, {_r6('composite_index')}, {_class('scored.composite_index')} AS composite_class, A1_debug, A5_debug FROM scored""",
+    )
+    a1_ends = _ends("mean_loglift:mean_loglift", "lifted:lifted", "frac:frac")
+    inner = {k: v for k, v in lsa.items() if k in ("locs", "per_loc", "drawn", "reps")}
+    scores = ["Habitat_purity", "mean_loglift", "lifted", "frac", "n2k_mean_loglift"]
+    out["composite_full"] = _sql(
+        {
+            **comp,
+            "ci1": f"SELECT * FROM ({_sql(_a1_intervals(), f'SELECT folder, {a1_ends} FROM boot GROUP BY folder')}) q",
+            "ci5": f"SELECT * FROM ({_sql(_a5_intervals(), f'SELECT folder, {_ends('mean_loglift:n2k')} FROM boot GROUP BY folder')}) q",
+            "lsa_": f"SELECT * FROM ({_sql(inner, summed)}) q",
+        },
+        f"""SELECT s.folder, focal_id, main_hab, No_obs, No_asc_spp, No_redlisted, n_focal, n_background, n_pool_localities,
+ {_r6(*scores)}, {zs}, {_r6('composite_index')}, {_class('s.composite_index')} AS composite_class, A1_debug, A5_debug,
+ ci1.* EXCLUDE (folder), ci5.* EXCLUDE (folder), lsa_.* EXCLUDE (folder)
+FROM (SELECT c.*, a1.lifted, a1.frac FROM scored c JOIN a1 USING (folder)) s LEFT JOIN ci1 ON ci1.folder=s.folder LEFT JOIN ci5 ON ci5.folder=s.folder LEFT JOIN lsa_ ON lsa_.folder=s.folder""",
     )
     out["habitat_summary"] = _sql(
         {**METRIC_ROWS, **_scored("metric_rows")},

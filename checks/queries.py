@@ -792,6 +792,18 @@ def composite_index(v: Views) -> DataFrame:
     )
 
 
+@query
+def composite_full(v: Views) -> DataFrame:
+    """Every column of the index table: counts, sub-sampling, both metrics with their intervals, scores."""
+    lm, data = _lm(v), _folders(v)
+    rows = composite_stage.folder_rows(data, lm, enrichment.habitat_map(v.assignments()))
+    out = composite.composite(rows)
+    names = [ours or name for name, ours in C.PROGRESS_COLUMNS if name != "timestamp"]
+    names += ["Z_exceed", "Z_N2000", "Z_HAB_purity", "composite_index", "composite_class"]
+    doubles = {f.name for f in out.schema.fields if f.dataType.typeName() == "double"}
+    return out.select(*[F.round(n, 6).alias(n) if n in doubles else F.col(n) for n in names])
+
+
 @query
 def habitat_summary(v: Views) -> DataFrame:
     rows = composite.with_index(composite.robust_z(_metric_rows(v), composite.METRICS))
