@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from habitatrix.session import materialize
 
-__all__ = ["held_out", "materialize", "read", "release", "rows_by_bytes", "ship", "texts_of", "whole_text"]
+__all__ = ["held_out", "materialize", "read", "release", "rows_by_bytes", "ship", "texts_of", "unused", "whole_text"]
 
 #: Text that a numpy kernel takes at a time; its arrays are about 50 times as large.
 SLICE_BYTES = 1 << 21
@@ -47,6 +47,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one, that no column of ``df`` has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, with NULL as the empty text."""
     return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
