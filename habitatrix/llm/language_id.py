@@ -209,10 +209,8 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         scored = docs.select(row, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
     else:
         narrow = docs.select(row, whole_text().alias("_text"))
-        schema = narrow.schema["_row"].dataType.simpleString()
-        scored = narrow.mapInArrow(
-            _predict(spark.sparkContext.broadcast(model)), f"_row {schema}, lang_pred string, score double"
-        )
+        schema = narrow.select("_row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+        scored = narrow.mapInArrow(_predict(spark.sparkContext.broadcast(model)), schema)
     return scored.select("_row.*", "lang_pred", "score")
 
 

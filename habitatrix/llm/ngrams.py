@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from habitatrix.session import lookup
+
 #: Hashed n-gram bins.
 BITS = 16
 
@@ -63,10 +65,8 @@ def presence(points, rows, n_rows: int, orders, bits: int = BITS):
 
 def bounded_sample(rows: DataFrame, label: str, per_label: int, key: str = "doc_id") -> DataFrame:
     """About ``per_label`` rows of each label, by a hash of ``key``, with ``weight`` rows for each."""
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().collect()}
-    rate = F.lit(1.0)
-    for value, n in counts.items():
-        if n > per_label:
-            rate = F.when(F.col(label) == F.lit(value), per_label / n).otherwise(rate)
+    share = F.least(F.lit(1.0), F.lit(float(per_label)) / F.count(F.lit(1)))
+    rates = lookup(rows.groupBy(F.col(label).alias("_of")).agg(share.alias("_rate")))
     draw = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
-    return rows.withColumn("weight", 1.0 / rate).where(draw < rate)
+    rated = rows.join(rates, F.col(label).eqNullSafe(F.col("_of"))).where(draw < F.col("_rate"))
+    return rated.withColumn("weight", 1.0 / F.col("_rate")).drop("_of", "_rate")

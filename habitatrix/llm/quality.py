@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from habitatrix.llm.ngrams import BITS, ROWS, bounded_sample, codepoints, presence
 from habitatrix.llm.tables import held_out, materialize, rows_by_bytes, ship, whole_text
+from habitatrix.session import lookup
 
 ORDERS = (1, 2, 3)
 
@@ -156,7 +157,7 @@ def score(
     chosen = materialize(bounded_sample(known, "_label", settings.per_label), "quality-sample")
     narrow = docs.select("doc_id", whole_text().alias("_text"))
     sample = materialize(
-        narrow.join(F.broadcast(chosen), "doc_id").select("doc_id", "_label", "weight", "_text"), "quality-texts"
+        narrow.join(lookup(chosen), "doc_id").select("doc_id", "_label", "weight", "_text"), "quality-texts"
     )
     kept = [c for c in docs.columns if c.lower() not in ("text", "held_out", "score")]
     row = F.struct(*[F.col(f"`{c}`") for c in kept], held_out().alias("held_out")).alias("_row")
@@ -168,5 +169,5 @@ def score(
     ratio, w = (np.frombuffer(got[k], dtype="float32").astype("float64") for k in ("ratio", "w"))
     model = spark.sparkContext.broadcast((ratio**2, w, got["slope"], got["shift"]))
     rows = docs.select(row, whole_text().alias("_text"))
-    schema = rows.schema["_row"].dataType.simpleString()
-    return rows.mapInArrow(_score(model), f"_row {schema}, score double").select("_row.*", "score")
+    schema = rows.select("_row", F.lit(0.0).alias("score")).schema
+    return rows.mapInArrow(_score(model), schema).select("_row.*", "score")

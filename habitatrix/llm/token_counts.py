@@ -73,16 +73,17 @@ def count_tokens(
         "token-keys",
     )
     stored = _stored(spark, cache, version)
+    named = keys.select(F.col(f"`{id_column}`").alias("_id"), "digest")
     first = (
-        keys.groupBy("digest")
-        .agg(F.min(id_column).alias("_first"))
+        named.groupBy("digest")
+        .agg(F.min("_id").alias("_first"))
         .join(stored.select("digest", F.lit(True).alias("_hit")), "digest", "left")
     )
     # Ids of which no text need be encoded: known content, and later copies of new content.
-    known = F.col("_hit").isNotNull() | F.coalesce(F.col(id_column) != F.col("_first"), F.lit(False))
+    known = F.col("_hit").isNotNull() | F.coalesce(F.col("_id") != F.col("_first"), F.lit(False))
     spared = (
-        keys.join(first, "digest")
-        .groupBy(F.col(id_column).alias("_id"))
+        named.join(first, "digest")
+        .groupBy("_id")
         .agg(F.bool_and(known).alias("_known"))
         .where("_known")
         .select("_id")

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from habitatrix.llm.hashing import WORDLIKE, Spans, word_spans
 from habitatrix.llm.ngrams import bounded_sample
 from habitatrix.llm.tables import held_out, materialize, rows_by_bytes, ship, texts_of, whole_text
+from habitatrix.session import lookup
 
 BITS = 18
 
@@ -172,7 +173,7 @@ def score(
     chosen = materialize(bounded_sample(known, "_label", settings.per_label), "toxic-sample")
     narrow = docs.select("doc_id", whole_text().alias("_text"))
     sample = materialize(
-        narrow.join(F.broadcast(chosen), "doc_id").select("doc_id", "_label", "weight", "_text"), "toxic-texts"
+        narrow.join(lookup(chosen), "doc_id").select("doc_id", "_label", "weight", "_text"), "toxic-texts"
     )
     results = ("text", "held_out", "score", "offending")
     kept = [c for c in docs.columns if c.lower() not in results]
@@ -184,6 +185,7 @@ def score(
     w = np.frombuffer(got["w"], dtype="float32")
     model = spark.sparkContext.broadcast((w, got["bias"]))
     rows = docs.select(row, whole_text().alias("_text"))
-    schema = rows.schema["_row"].dataType.simpleString()
-    scored = rows.mapInArrow(_score(model, threshold), f"_row {schema}, score double, offending {OFFENDING}")
+    none = F.array().cast(OFFENDING).alias("offending")
+    schema = rows.select("_row", F.lit(0.0).alias("score"), none).schema
+    scored = rows.mapInArrow(_score(model, threshold), schema)
     return scored.select("_row.*", "score", "offending")

@@ -158,3 +158,37 @@ def test_pipeline_drops_lines_with_one_change(spark):
     assert found >= 0.97 * len(copies)
     assert all(got[i].text == t for i, t in rows if i not in copies)
     assert all(r.n_chars == len(r.text) for r in got.values())
+
+
+@pytest.mark.parametrize("name", ["a b", "a:b", "stays", "_hit", "_row", "_text", "_first", "_id", "n_tokens", "flag"])
+def test_columns_with_odd_names(spark, name):
+    """A further column of any name stays as it is, or is replaced by a result of that name."""
+    import public_tokenizers
+
+    from habitatrix.llm import line_dedup, token_counts
+
+    rng = random.Random(3)
+    rows = [(i, prose(rng, lang, 12) + ("\nsome line that comes again and again" if i % 3 else ""), lang, i) for i, lang in enumerate(["aa", "bb"] * 15)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, x int").withColumnRenamed("x", name)
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(30)], "doc_id bigint, quality int, toxic int")
+    want = {i: i for i in range(30)}
+
+    def column(out, key=name):
+        return {r["doc_id"]: r[key] for r in out.select("doc_id", F.col(f"`{key}`")).collect()}
+
+    assert column(language_id.identify(docs)) == want
+    assert column(toxicity.score(docs, labels)) == want and column(quality.score(docs, labels)) == want
+    counted = token_counts.count_tokens(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    assert (column(counted) == want) == (name != "n_tokens") and counted.columns.count("n_tokens") == 1
+    lines = line_dedup.deduplicate(docs, line_dedup.WHOLE)
+    assert column(lines) == want and sum(column(lines, "n_removed").values()) == 19
+
+
+def test_many_label_values(spark):
+    from habitatrix.llm.ngrams import bounded_sample
+
+    rows = spark.range(40_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "hot").otherwise(F.col("id").cast("string")).alias("lang"))
+    got = bounded_sample(rows, "lang", 500)
+    hot = got.where("lang = 'hot'")
+    assert got.where("lang <> 'hot' AND weight = 1").count() == 20_000
+    assert 400 < hot.count() < 600 and hot.select("weight").distinct().collect() == [(40.0,)]
