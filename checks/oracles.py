@@ -394,6 +394,35 @@ SELECT lat, lon, round(6.36490216611273959e+06*(xi+8.37731824734434371e-04*sin(2
    FROM occ WHERE decimalLatitude IS NOT NULL AND decimalLongitude IS NOT NULL) a) b) c"""
 
 
+def _degrees() -> dict[str, str]:
+    """Stage 2 from degrees: selectors by id or name, region, padded cells; every focal record is a site."""
+    lat, lon = "59e0 + CAST((o_custkey*7919)%401 AS DOUBLE)*0.0003e0", "17e0 + CAST((o_custkey*104729)%409 AS DOUBLE)*0.0007e0"
+    taxon = "1000 + p_size*2 + p_partkey%2"
+    metres = _PROJECT.replace("SELECT DISTINCT round(decimalLatitude,3) AS lat, round(decimalLongitude,3) AS lon", "SELECT DISTINCT decimalLatitude AS lat, decimalLongitude AS lon")
+    return {
+        "occ": f"""
+SELECT p_brand AS name, CASE WHEN p_size<>50 THEN {taxon} END AS taxon, CASE WHEN o_custkey%3=0 THEN 'Lake ' || (o_custkey%50) END AS locality,
+ CASE WHEN l_linenumber=6 AND l_suppkey%10=1 THEN 50e0 WHEN l_linenumber=5 THEN {lat} + 3 ELSE {lat} END AS decimalLatitude,
+ CASE WHEN l_linenumber=4 THEN {lon} + CAST(l_suppkey%200 AS DOUBLE)*0.0007e0 ELSE {lon} END AS decimalLongitude
+FROM lineitem JOIN part ON l_partkey=p_partkey JOIN orders ON l_orderkey=o_orderkey""",
+        "metres": metres,
+        "rec": """
+SELECT o.*, m.north AS N, m.east AS E, (coalesce(taxon%29=0, false) OR name IN ('Brand#1', 'Brand#2')) AS is_focal,
+ coalesce(locality, 'cell_' || printf('%.3f', decimalLatitude) || '_' || printf('%.3f', decimalLongitude)) AS loc
+FROM occ o JOIN metres m ON m.lat=decimalLatitude AND m.lon=decimalLongitude WHERE decimalLatitude BETWEEN 55 AND 69.5 AND decimalLongitude BETWEEN 10 AND 25""",
+        "box": "SELECT 614000e0 + n_nationkey%5*1000 AS x0, 6541000e0 + (n_nationkey//5)*1500 AS y0 FROM nation",
+        "foc": """
+SELECT r.* FROM rec r WHERE is_focal AND EXISTS (SELECT 1 FROM box WHERE r.E BETWEEN x0 AND x0+800 AND r.N BETWEEN y0 AND y0+1200)""",
+        "s": "SELECT name AS focal, E, N, COUNT(*) AS k, CAST(floor(E/50) AS BIGINT) AS cx, CAST(floor(N/50) AS BIGINT) AS cy FROM foc GROUP BY name, E, N",
+        "o": """
+SELECT taxon, loc, E, N, COUNT(*) AS k, CAST(floor(E/50) AS BIGINT) AS cx, CAST(floor(N/50) AS BIGINT) AS cy FROM rec WHERE NOT is_focal GROUP BY taxon, loc, E, N""",
+        "near": f"""
+SELECT s.focal, o.taxon, o.loc, s.k*o.k AS n FROM o JOIN (SELECT focal, E, N, k, cx+dx AS cx, cy+dy AS cy FROM s
+ CROSS JOIN (VALUES (-1),(0),(1)) a(dx) CROSS JOIN (VALUES (-1),(0),(1)) b(dy)) s ON o.cx=s.cx AND o.cy=s.cy AND {INSIDE}""",
+        "keep": "SELECT focal, taxon FROM near WHERE taxon IS NOT NULL GROUP BY 1,2 HAVING SUM(n)>=15",
+    }
+
+
 def _inverse(n: str, e: str, source: str, keep: str) -> dict[str, str]:
     """Metres to degrees with the series coefficients written out from f."""
     return {
@@ -556,6 +585,23 @@ FROM (SELECT focal, part, row_key, CASE WHEN row_key NOT LIKE '1%' THEN vernacul
         },
         """SELECT round(MIN(lon)-0.05e0,6) AS lon_min, round(MIN(lat)-0.05e0,6) AS lat_min, round(MAX(lon)+0.05e0,6) AS lon_max, round(MAX(lat)+0.05e0,6) AS lat_max FROM inv""",
     )
+    deg = _degrees()
+    out["degrees_found"] = _sql(
+        deg,
+        """SELECT f.focal, f.n AS focal_obs, coalesce(string_agg(CAST(taxon AS VARCHAR),' ' ORDER BY CAST(taxon AS VARCHAR)),'') AS ids,
+ coalesce(string_agg(CAST(taxon AS VARCHAR),' ' ORDER BY CAST(taxon AS VARCHAR)) FILTER (WHERE taxon%7=0),'') AS red_ids,
+ COUNT(taxon) AS n_assoc, COUNT(taxon) FILTER (WHERE taxon%7=0) AS n_red
+FROM (SELECT name AS focal, COUNT(*) AS n FROM foc GROUP BY 1) f LEFT JOIN keep k ON k.focal=f.focal GROUP BY 1,2""",
+    )
+    out["degrees_red_local"] = _sql(
+        deg, "SELECT focal, loc AS LocalityID, COUNT(DISTINCT taxon) AS n_red FROM near WHERE taxon%7=0 GROUP BY 1,2"
+    )
+    out["degrees_near"] = _sql(
+        deg,
+        """SELECT name AS scientificName, COUNT(*) AS n FROM occ
+WHERE decimalLatitude BETWEEN (SELECT MIN(decimalLatitude)-0.05e0 FROM foc) AND (SELECT MAX(decimalLatitude)+0.05e0 FROM foc)
+ AND decimalLongitude BETWEEN (SELECT MIN(decimalLongitude)-0.05e0 FROM foc) AND (SELECT MAX(decimalLongitude)+0.05e0 FROM foc) GROUP BY 1""",
+    )
     site_inv = _inverse("N", "E", "sites", "run, focal, fid")
     out["near_buffers"] = _sql(
         {**s2, **site_inv},

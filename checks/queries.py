@@ -434,6 +434,37 @@ def near_buffers(v: Views) -> DataFrame:
     return inside.groupBy("scientificName").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _from_degrees(v: Views) -> associate_stage.Associates:
+    """Every focal record in the region is a site."""
+    return associate_stage.build_from_occurrences(
+        v.occ_degrees(), v.degree_selectors(), v.red_ids(), v.region(), sample=10**9
+    )
+
+
+@query
+def degrees_found(v: Views) -> DataFrame:
+    found = _from_degrees(v).found
+    return found.select(
+        "focal", "focal_obs", F.array_join("ids", " ").alias("ids"), F.array_join("red_ids", " ").alias("red_ids"), "n_assoc", "n_red"
+    )
+
+
+@query
+def degrees_red_local(v: Views) -> DataFrame:
+    built = _from_degrees(v)
+    return A.red_species_local(built.contacts, built.sites).select("focal", "LocalityID", "n_red")
+
+
+@query
+def degrees_near(v: Views) -> DataFrame:
+    """Records that the second pass starts from, with the margin of the method."""
+    occ = v.occ_degrees()
+    rows = A.mark_focal(A.occurrence_rows(occ), v.degree_selectors())
+    focal = region.in_region(A.to_points(A.focal_points(rows)), v.region())
+    inside = A.near_buffers(occ, A.buffer_bounds(focal))
+    return inside.groupBy("scientificName").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _stage2(v: Views, runs: int = 1):
     sites = materialize(v.sites(runs), "sites")
     return A.site_contacts(v.others(), sites, v.red_ids()), sites

@@ -73,6 +73,45 @@ class Views:
             )
         )
 
+    def occ_degrees(self) -> DataFrame:
+        """Records whose places are known in degrees only, some named, some far away or outside the country."""
+        part, orders, li = self.table("part"), self.table("orders"), self.table("lineitem")
+        place, line, supp = F.col("o_custkey"), F.col("l_linenumber"), F.col("l_suppkey")
+        taxon = F.lit(1000) + F.col("p_size") * 2 + F.col("p_partkey") % 2
+        lat = F.lit(59.0) + ((place * 7919) % 401).cast("double") * 0.0003
+        lon = F.lit(17.0) + ((place * 104729) % 409).cast("double") * 0.0007
+        return (
+            li.join(part, F.col("l_partkey") == F.col("p_partkey"))
+            .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+            .select(
+                F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("occurrenceID"),
+                F.when(F.col("p_size") != 50, F.concat(F.lit("urn:lsid:dyntaxa.se:Taxon:"), taxon.cast("string"))).alias("taxonID"),
+                F.col("p_brand").alias("scientificName"),
+                F.col("p_name").alias("vernacularName"),
+                F.when(place % 3 == 0, F.concat(F.lit("Lake "), (place % 50).cast("string"))).alias("locality"),
+                F.when((line == 6) & (supp % 10 == 1), 50.0).when(line == 5, lat + 3).otherwise(lat).alias("decimalLatitude"),
+                F.when(line == 4, lon + (supp % 200).cast("double") * 0.0007).otherwise(lon).alias("decimalLongitude"),
+            )
+        )
+
+    def degree_selectors(self) -> DataFrame:
+        """Two species by name, and four taxa by id whatever their name."""
+        ids = self.taxa().where("taxon_id % 29 = 0").select(F.col("taxon_id").cast("string"), F.lit(None).cast("string").alias("name"))
+        names = self.selectors().where("name IN ('Brand#11', 'Brand#22', 'Brand#1', 'Brand#2')")
+        return ids.unionByName(names)
+
+    def region(self) -> DataFrame:
+        """Edges in metres of one box per nation."""
+        k = F.col("n_nationkey")
+        x0, y0 = (F.lit(614000) + k % 5 * 1000).cast("double"), (F.lit(6541000) + F.floor(k / 5) * 1500).cast("double")
+        corners = [(x0, y0), (x0 + 800, y0), (x0 + 800, y0 + 1200), (x0, y0 + 1200)]
+        edges = [
+            F.struct(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2"))
+            for a, b in zip(corners, [*corners[1:], corners[0]])
+        ]
+        box = self.table("nation").select(k.cast("string").alias("poly_id"), F.lit("all").alias("label"), F.explode(F.array(*edges)).alias("e"))
+        return box.select("poly_id", "label", "e.*")
+
     def obs(self) -> DataFrame:
         return L.observations(self.occ())
 

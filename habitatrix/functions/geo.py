@@ -24,6 +24,7 @@ class Grid:
     k0: float = 0.9996
     false_n: float = 0.0
     false_e: float = 500000.0
+    lat0_deg: float = 0.0
 
     @property
     def n(self) -> float:
@@ -40,6 +41,17 @@ class Grid:
         n = self.n
         return self.k0 * self.a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
 
+    @property
+    def origin_n(self) -> float:
+        """What is added to metres from the equator: the false northing counts from the origin's latitude."""
+        if self.lat0_deg == 0.0:
+            return self.false_n
+        phi = math.radians(self.lat0_deg)
+        powers = sum(k * math.sin(phi) ** (2 * i) for i, k in enumerate(self.conformal()))
+        xi = phi - math.sin(phi) * math.cos(phi) * powers
+        arc = xi + sum(k * math.sin(2 * i * xi) for i, k in enumerate(self.forward(), start=1))
+        return self.false_n - self.radius * arc
+
     def conformal(self) -> list[float]:
         e = self.e2
         return [
@@ -124,7 +136,7 @@ def project(
     e = F.lit(grid.radius) * (eta + _series(xi, eta, grid.forward(), False))
     return staged.select(
         *kept,
-        (n + F.lit(grid.false_n)).alias(north),
+        (n + F.lit(grid.origin_n)).alias(north),
         (e + F.lit(grid.false_e)).alias(east),
     )
 
@@ -138,7 +150,7 @@ def unproject(
     staged = (
         df.withColumns(
             {
-                "_xi0": (F.col(north) - F.lit(grid.false_n)) / F.lit(grid.radius),
+                "_xi0": (F.col(north) - F.lit(grid.origin_n)) / F.lit(grid.radius),
                 "_eta0": (F.col(east) - F.lit(grid.false_e)) / F.lit(grid.radius),
             }
         )

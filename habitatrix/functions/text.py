@@ -144,18 +144,19 @@ def genus_species(c: Column) -> Column:
 def safe_name(c: Column) -> Column:
     """Name usable as a folder name; Swedish letters survive."""
     return F.regexp_replace(
-        F.replace(_composed()(F.trim(c)), F.lit(" "), F.lit("_")), _FILE_NAME_JUNK, "_"
+        F.replace(composed(F.trim(c)), F.lit(" "), F.lit("_")), _FILE_NAME_JUNK, "_"
     )
 
 
-def _composed():
-    @F.pandas_udf("string")
-    def nfc(s):
-        import unicodedata
+def composed(c: Column) -> Column:
+    """Letters and their marks joined (NFC), by the Unicode library that Spark brings along.
 
-        return s.map(lambda v: None if v is None else unicodedata.normalize("NFC", v))
-
-    return nfc
+    Texts of plain ASCII, nearly all of them, are not touched.
+    """
+    joined = F.reflect(
+        F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(c, F.lit("")), F.lit(False)
+    )
+    return F.when(c.rlike(r"[^\x00-\x7F]"), joined).otherwise(c)
 
 
 def name_seed(c: Column, base: int) -> Column:

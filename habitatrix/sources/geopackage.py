@@ -7,6 +7,8 @@ that every executor can open.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,9 +16,13 @@ from habitatrix.functions import geo
 
 _SCHEMA = (
     "feature_id bigint, label string, part int, ring int, srs_id int, "
-    "x1 double, y1 double, x2 double, y2 double"
+    "x1 double, y1 double, x2 double, y2 double, definition string"
 )
 
+# The target system, degrees on its ellipsoid, and ellipsoids that are the same within a millimetre.
+_TARGET, _DEGREES = 3006, 4326
+_AXIS, _INVERSE_F = 6378137.0, (298.257222101, 298.257223563)
+
 
 def _source_class():
     # defined here so that it is shipped by value: executors need no install
@@ -104,6 +110,9 @@ def _source_class():
             con = self._open()
             try:
                 table, column, layer_srs = self._layer(con)
+                systems = {}
+                if con.execute("SELECT 1 FROM sqlite_master WHERE name = 'gpkg_spatial_ref_sys'").fetchone():
+                    systems = dict(con.execute("SELECT srs_id, definition FROM gpkg_spatial_ref_sys"))
                 found = con.execute(
                     f'SELECT rowid, "{self.field}", "{column}" FROM "{table}" '
                     "WHERE rowid BETWEEN ? AND ? ORDER BY rowid",
@@ -130,6 +139,7 @@ def _source_class():
                                 y1,
                                 x2,
                                 y2,
+                                systems.get(srs or layer_srs),
                             )
             finally:
                 con.close()
@@ -158,26 +168,87 @@ def read_rings(
     return reader.load(path)
 
 
+def grid_of(srs_id: int, definition: str | None) -> geo.Grid | None:
+    """The transverse Mercator grid of a coordinate system; None for degrees.
+
+    The definition is well-known text of the first version.  Systems on another ellipsoid would need a
+    datum shift, and other projections another formula; both are refused.
+    """
+    if srs_id == _TARGET:
+        return geo.SWEREF99_TM
+    if srs_id == _DEGREES:
+        return None
+    text = definition or ""
+
+    def numbers(keyword: str, count: int) -> list[float] | None:
+        tail = r"\s*,\s*".join([r"(-?[0-9.]+(?:[eE][-+]?[0-9]+)?)"] * count)
+        found = re.search(keyword + r"\s*,\s*" + tail, text, re.IGNORECASE)
+        return [float(x) for x in found.groups()] if found else None
+
+    ellipsoid = numbers(r'(?:SPHEROID|ELLIPSOID)\s*\[\s*"[^"]*"', 2)
+    if ellipsoid is None:
+        raise ValueError(f"unsupported srs_id {srs_id}: no definition")
+    a, inverse_f = ellipsoid
+    if a != _AXIS or min(abs(inverse_f - f) for f in _INVERSE_F) > 1e-6:
+        raise ValueError(f"unsupported srs_id {srs_id}: its ellipsoid needs a datum shift")
+    if re.match(r"\s*GEOG", text, re.IGNORECASE):
+        return None
+    if not re.search(r'PROJECTION\s*\[\s*"Transverse[_ ]Mercator"', text, re.IGNORECASE):
+        raise ValueError(f"unsupported srs_id {srs_id}: not a transverse Mercator projection")
+
+    def parameter(name: str, default: float) -> float:
+        found = numbers(rf'PARAMETER\s*\[\s*"{name}"', 1)
+        return default if found is None else found[0]
+
+    units = re.findall(r'UNIT\s*\[\s*"[^"]*"\s*,\s*([0-9.eE+-]+)', text)
+    if units and float(units[-1]) != 1.0:
+        raise ValueError(f"unsupported srs_id {srs_id}: lengths are not in metres")
+    return geo.Grid(
+        a=a,
+        inverse_f=inverse_f,
+        lon0_deg=parameter("central_meridian", 0.0),
+        k0=parameter("scale_factor", 1.0),
+        false_n=parameter("false_northing", 0.0),
+        false_e=parameter("false_easting", 0.0),
+        lat0_deg=parameter("latitude_of_origin", 0.0),
+    )
+
+
+def _in_metres(rings: DataFrame, grid: geo.Grid | None) -> DataFrame:
+    """Both ends of every edge in SWEREF 99 TM."""
+    if grid == geo.SWEREF99_TM:
+        return rings
+    for x, y in (("x1", "y1"), ("x2", "y2")):
+        lat, lon = y, x
+        if grid is not None:
+            lat, lon = "_lat", "_lon"
+            rings = geo.unproject(rings, y, x, lat, lon, grid)
+        rings = geo.project(rings, lat, lon, "_n", "_e").withColumns({x: F.col("_e"), y: F.col("_n")})
+    return rings
+
+
 def region_edges(rings: DataFrame, choice: str | None = None) -> DataFrame:
-    """Edges in SWEREF 99 TM metres of the polygons labelled ``choice``."""
+    """Edges in SWEREF 99 TM metres of the polygons labelled ``choice``.
+
+    A layer may use degrees or any transverse Mercator grid on the same ellipsoid; its few coordinate
+    systems are looked up first.
+    """
     picked = rings
     if choice is not None:
         picked = rings.where(F.lower(F.trim("label")) == F.lit(choice.strip().lower()))
         if picked.limit(1).count() == 0:
             raise ValueError(f"no polygon is labelled {choice!r}")
-    both = geo.project(geo.project(picked, "y1", "x1", "_n1", "_e1"), "y2", "x2", "_n2", "_e2")
-    known = F.col("srs_id").isin(3006, 4326)
-    degrees = F.col("srs_id") == 4326
-
-    def metres(raw, projected):
-        bad = F.raise_error(F.concat(F.lit("unsupported srs_id "), F.col("srs_id").cast("string")))
-        return F.when(~known, bad.cast("double")).when(degrees, F.col(projected)).otherwise(F.col(raw))
-
-    return both.select(
+    systems = picked.groupBy("srs_id").agg(F.max("definition").alias("definition")).collect()
+    out = None
+    for r in systems:
+        mine = picked if len(systems) == 1 else picked.where(F.col("srs_id") == r.srs_id)
+        part = _in_metres(mine, grid_of(r.srs_id, r.definition))
+        out = part.select(*rings.columns) if out is None else out.unionByName(part.select(*rings.columns))
+    return (picked if out is None else out).select(
         F.concat_ws("/", "feature_id", "part").alias("poly_id"),
         F.lower(F.trim("label")).alias("label"),
-        metres("x1", "_e1").alias("x1"),
-        metres("y1", "_n1").alias("y1"),
-        metres("x2", "_e2").alias("x2"),
-        metres("y2", "_n2").alias("y2"),
+        "x1",
+        "y1",
+        "x2",
+        "y2",
     )

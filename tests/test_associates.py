@@ -260,3 +260,41 @@ def test_text_coordinates_near_buffers(spark):
     )
     bounds = spark.createDataFrame([(14.0, 59.0, 16.0, 61.0)], "lon_min double, lat_min double, lon_max double, lat_max double")
     assert [r.decimalLatitude for r in A.near_buffers(occ, bounds).collect()] == ["60.0"]
+
+
+def test_region_cells_agree_with_parity(spark):
+    """Random stars with holes, overlaps and round corners; narrow and wide cells."""
+    rng = random.Random(31)
+    polygons = []
+    for k in range(12):
+        cx, cy, n = rng.uniform(0, 9000), rng.uniform(0, 9000), rng.randrange(3, 40)
+        ring = [(cx + rng.uniform(200, 3000) * math.cos(2 * math.pi * i / n), cy + rng.uniform(200, 3000) * math.sin(2 * math.pi * i / n)) for i in range(n)]
+        if k % 3 == 0:
+            ring = [(round(px, -3), round(py, -3)) for px, py in ring]
+        rings = [ring]
+        if k % 2:
+            rings.append([(cx + 90 * math.cos(-i), cy + 90 * math.sin(-i)) for i in range(6)])
+        polygons.append(rings)
+    polygons.append([[(0, 0), (20000, 0), (20000, 400), (0, 400)]])
+    edges = [
+        (str(k), *a, *b) for k, rings in enumerate(polygons) for ring in rings for a, b in zip(ring, [*ring[1:], ring[0]]) if a != b
+    ]
+    frame = spark.createDataFrame([tuple(map(lambda v: v if isinstance(v, str) else float(v), e)) for e in edges], "poly_id string, x1 double, y1 double, x2 double, y2 double")
+    pts = [(rng.uniform(-4000, 21000), rng.uniform(-4000, 13000)) for _ in range(1500)]
+    pts += [(float(rng.randrange(-4, 14) * 1000), float(rng.randrange(-4, 14) * 1000)) for _ in range(200)]
+    points = spark.createDataFrame(pts, "E double, N double")
+
+    def inside(x, y):
+        for k in range(len(polygons)):
+            mine = [e[1:] for e in edges if e[0] == str(k)]
+            for x1, y1, x2, y2 in mine:
+                if (x2 - x1) * (y - y1) == (y2 - y1) * (x - x1) and min(x1, x2) <= x <= max(x1, x2) and min(y1, y2) <= y <= max(y1, y2):
+                    return True
+            if sum((y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1 for x1, y1, x2, y2 in mine) % 2:
+                return True
+        return False
+
+    want = {p for p in pts if inside(*p)}
+    assert 100 < len(want) < 1500
+    for width in (200.0, 777.0, 50_000.0, None):
+        assert {(r.E, r.N) for r in in_region(points, frame, width=width).collect()} == want, width

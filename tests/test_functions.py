@@ -169,3 +169,11 @@ def test_margalef_guard(spark):
     got = [r[0] for r in df.select(stats.margalef(F.col("s"), F.col("n"))).collect()]
     assert got[0] == pytest.approx(4 / math.log(10))
     assert got[1:] == [None, None]
+
+
+def test_composed_agrees_with_unicode(spark):
+    import unicodedata
+
+    texts = ["éx", "Årsta", "plain", None, "", "각", "ạ́", "Å", "🙂 ö" * 300]
+    want = [None if t is None else unicodedata.normalize("NFC", t) for t in texts]
+    assert column(spark, texts, "string", text.composed) == want

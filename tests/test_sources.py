@@ -192,3 +192,64 @@ def test_geopackage_degrees_and_errors(spark, tmp_path):
         geopackage.read_rings(spark, deg, field="nope").count()
     with pytest.raises(Exception, match="no feature layer"):
         geopackage.read_rings(spark, deg, layer="other").count()
+
+
+UTM33 = """PROJCS["WGS 84 / UTM zone 33N",GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.257223563]],
+PRIMEM["Greenwich",0],UNIT["degree",0.0174532925199433]],PROJECTION["Transverse_Mercator"],PARAMETER["latitude_of_origin",0],
+PARAMETER["central_meridian",15],PARAMETER["scale_factor",0.9996],PARAMETER["false_easting",500000],PARAMETER["false_northing",0],UNIT["metre",1]]"""
+LOCAL = UTM33.replace('"central_meridian",15', '"central_meridian",18').replace("0.9996", "1").replace("500000", "150000").replace(
+    '"latitude_of_origin",0', '"latitude_of_origin",58'
+)
+
+
+def test_geopackage_in_other_grids(spark, tmp_path):
+    """A square of a zone grid lands where its corners are in degrees."""
+    import sqlite3
+
+    from habitatrix.functions import geo
+
+    for name, wkt, grid in (("utm", UTM33, geo.Grid(inverse_f=298.257223563)), ("local", LOCAL, None)):
+        grid = grid or geo.Grid(inverse_f=298.257223563, lon0_deg=18.0, k0=1.0, false_e=150000.0, lat0_deg=58.0)
+        at = spark.createDataFrame([(59.0, 17.0)], "lat double, lon double")
+        spot = geo.project(at, "lat", "lon", "n", "e", grid).first()
+        path = geopackage_file(tmp_path / f"{name}.gpkg", 32633, [(blob(32633, wkb([[box(spot.e, spot.n, 1000)]])), "a")])
+        con = sqlite3.connect(path)
+        con.execute("CREATE TABLE IF NOT EXISTS gpkg_spatial_ref_sys (srs_name TEXT, srs_id INTEGER, definition TEXT)")
+        con.execute("DELETE FROM gpkg_spatial_ref_sys")
+        con.execute("INSERT INTO gpkg_spatial_ref_sys (srs_name, srs_id, definition) VALUES ('x', 32633, ?)", (wkt,))
+        con.commit()
+        con.close()
+        edges = geopackage.region_edges(geopackage.read_rings(spark, path), "a")
+        corner = edges.orderBy("x1", "y1").first()
+        want = geo.project(at, "lat", "lon", "n", "e").first()
+        if name == "utm":  # the same projection on ellipsoids that differ by less than a millimetre
+            assert abs(corner.x1 - want.e) < 0.01 and abs(corner.y1 - want.n) < 0.01
+        inside = spark.createDataFrame([(59.004, 17.008), (59.02, 17.0)], "lat double, lon double")
+        got = in_region(geo.project(inside, "lat", "lon", "N", "E"), edges).count()
+        assert got == 1
+        hit = edges.where((F.hypot(F.col("x1") - want.e, F.col("y1") - want.n) < 0.01)).count()
+        assert hit == 1
+
+
+def test_geopackage_refuses_what_it_cannot_place():
+    for wkt, why in (
+        (None, "no definition"),
+        (UTM33.replace("6378137,298.257223563", "6377397.155,299.1528128"), "datum"),
+        (UTM33.replace("Transverse_Mercator", "Lambert_Conformal_Conic_2SP"), "not a transverse"),
+        (UTM33.replace('UNIT["metre",1]', 'UNIT["foot",0.3048]'), "metres"),
+    ):
+        with pytest.raises(ValueError, match=why):
+            geopackage.grid_of(9999, wkt)
+    assert geopackage.grid_of(9999, UTM33[UTM33.index("GEOGCS") :]) is None
+
+
+def test_grid_with_an_origin(spark):
+    from habitatrix.functions import geo
+
+    grid = geo.Grid(lat0_deg=58.0, lon0_deg=18.0, k0=1.0, false_e=150000.0, false_n=1000.0)
+    at = spark.createDataFrame([(58.0, 18.0), (60.0, 17.0)], "lat double, lon double")
+    there = geo.project(at, "lat", "lon", "n", "e", grid)
+    first = there.first()
+    assert first.n == pytest.approx(1000.0, abs=1e-4) and first.e == pytest.approx(150000.0, abs=1e-6)
+    back = geo.unproject(there.select("n", "e"), "n", "e", "lat", "lon", grid).collect()
+    assert [(round(r.lat, 8), round(r.lon, 8)) for r in back] == [(58.0, 18.0), (60.0, 17.0)]
