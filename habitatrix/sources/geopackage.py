@@ -1,6 +1,6 @@
 """GeoPackage polygons as a Spark data source (format ``gpkg_rings``).
 
-One row per polygon edge.  The feature table is split by row-id range, so each
+One row per polygon edge.  Filters on labels and boxes are pushed into the file.  The feature table is split by row-id range, so each
 task decodes its own share of the geometries; the file has to lie in a folder
 that every executor can open.
 """
@@ -13,10 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from habitatrix.functions import geo
+from habitatrix.session import materialize
 
 _SCHEMA = (
     "feature_id bigint, label string, part int, ring int, srs_id int, "
-    "x1 double, y1 double, x2 double, y2 double, definition string"
+    "x1 double, y1 double, x2 double, y2 double, definition string, "
+    "min_x double, min_y double, max_x double, max_y double"
 )
 
 # The target system, degrees on its ellipsoid, and ellipsoids that are the same within a millimetre.
@@ -38,6 +40,32 @@ def _source_class():
             self.layer = options.get("layer")
             self.field = options.get("field", "region_ID")
             self.size = int(options.get("features_per_task", "256"))
+            self.label, self.box = None, []
+
+        def pushFilters(self, filters):
+            """Labels and boxes narrow the features that are decoded; Spark still checks every row."""
+            compared = {"GreaterThanOrEqual": ">=", "GreaterThan": ">=", "LessThanOrEqual": "<=", "LessThan": "<="}
+            for f in filters:
+                kind, name = type(f).__name__, getattr(f, "attribute", (None,))[0]
+                if kind == "EqualTo" and name == "label":
+                    self.label = f.value
+                elif kind in compared and name in ("min_x", "min_y", "max_x", "max_y"):
+                    self.box.append((name.replace("_", ""), compared[kind], float(f.value)))
+                yield f
+
+        def _condition(self, con, table, column):
+            """SQL text and values; the index of boxes rounds outwards, so no feature is missed."""
+            text, values = "", []
+            if self.label is not None:
+                text += f""" AND (typeof("{self.field}") <> 'text' OR "{self.field}" = ?)"""
+                values.append(self.label)
+            index = f"rtree_{table}_{column}"
+            if self.box and con.execute("SELECT 1 FROM sqlite_master WHERE name = ?", (index,)).fetchone():
+                # the exact bound is checked by Spark; one unit in the last place of a single is let through
+                bounds = " AND ".join(f"{n} {o} ?" for n, o, _ in self.box)
+                text += f' AND rowid IN (SELECT id FROM "{index}" WHERE {bounds})'
+                values += [v + (-1 if o == ">=" else 1) * (abs(v) * 1e-6 + 1e-6) for _, o, v in self.box]
+            return text, values
 
         def _open(self):
             import sqlite3
@@ -113,10 +141,11 @@ def _source_class():
                 systems = {}
                 if con.execute("SELECT 1 FROM sqlite_master WHERE name = 'gpkg_spatial_ref_sys'").fetchone():
                     systems = dict(con.execute("SELECT srs_id, definition FROM gpkg_spatial_ref_sys"))
+                condition, values = self._condition(con, table, column)
                 found = con.execute(
                     f'SELECT rowid, "{self.field}", "{column}" FROM "{table}" '
-                    "WHERE rowid BETWEEN ? AND ? ORDER BY rowid",
-                    (partition.first, partition.last),
+                    f"WHERE rowid BETWEEN ? AND ?{condition} ORDER BY rowid",
+                    (partition.first, partition.last, *values),
                 )
                 for fid, label, blob in found:
                     if blob is None:
@@ -127,7 +156,11 @@ def _source_class():
                     byte_order = "<" if flags & 1 else ">"
                     (srs,) = struct.unpack_from(byte_order + "i", blob, 4)
                     start = 8 + 8 * envelope_doubles[(flags >> 1) & 7]
-                    for part, ring, pts in rings(blob, start)[1]:
+                    decoded = rings(blob, start)[1]
+                    xs = [x for _, _, pts in decoded for x, _ in pts]
+                    ys = [y for _, _, pts in decoded for _, y in pts]
+                    box = (min(xs), min(ys), max(xs), max(ys)) if xs else (None,) * 4
+                    for part, ring, pts in decoded:
                         for (x1, y1), (x2, y2) in zip(pts, pts[1:]):
                             yield (
                                 fid,
@@ -140,6 +173,7 @@ def _source_class():
                                 x2,
                                 y2,
                                 systems.get(srs or layer_srs),
+                                *box,
                             )
             finally:
                 con.close()
@@ -161,6 +195,11 @@ def _source_class():
 def read_rings(
     spark: SparkSession, path: str, layer: str | None = None, field: str = "region_ID"
 ) -> DataFrame:
+    """Edges of all polygons, each with the box of its feature.
+
+    Conditions on ``label`` and on the box (``min_x`` ...) reach the file: the latter by its spatial index.
+    """
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(_source_class())
     reader = spark.read.format("gpkg_rings").option("field", field)
     if layer:
@@ -215,7 +254,10 @@ def grid_of(srs_id: int, definition: str | None) -> geo.Grid | None:
 
 
 def _in_metres(rings: DataFrame, grid: geo.Grid | None) -> DataFrame:
-    """Both ends of every edge in SWEREF 99 TM."""
+    """Both ends of every edge in SWEREF 99 TM.
+
+    The result is written down: a filter on a coordinate would carry the whole series with it.
+    """
     if grid == geo.SWEREF99_TM:
         return rings
     for x, y in (("x1", "y1"), ("x2", "y2")):
@@ -224,7 +266,7 @@ def _in_metres(rings: DataFrame, grid: geo.Grid | None) -> DataFrame:
             lat, lon = "_lat", "_lon"
             rings = geo.unproject(rings, y, x, lat, lon, grid)
         rings = geo.project(rings, lat, lon, "_n", "_e").withColumns({x: F.col("_e"), y: F.col("_n")})
-    return rings
+    return materialize(rings, "edges")
 
 
 def region_edges(rings: DataFrame, choice: str | None = None) -> DataFrame:

@@ -253,3 +253,24 @@ def test_grid_with_an_origin(spark):
     assert first.n == pytest.approx(1000.0, abs=1e-4) and first.e == pytest.approx(150000.0, abs=1e-6)
     back = geo.unproject(there.select("n", "e"), "n", "e", "lat", "lon", grid).collect()
     assert [(round(r.lat, 8), round(r.lon, 8)) for r in back] == [(58.0, 18.0), (60.0, 17.0)]
+
+
+def test_geopackage_pushed_filters(spark, tmp_path):
+    """Labels and boxes reach the file: damaged features outside of them are never decoded."""
+    import sqlite3
+
+    good = [(blob(3006, wkb([[box(100.0 * i, 0.0, 10.0)]])), f"r{i}") for i in range(6)]
+    path = geopackage_file(tmp_path / "p.gpkg", 3006, good)
+    con = sqlite3.connect(path)
+    con.execute("CREATE VIRTUAL TABLE rtree_regions_geom USING rtree(id, minx, maxx, miny, maxy)")
+    con.executemany("INSERT INTO rtree_regions_geom VALUES (?,?,?,?,?)", [(i + 1, 100.0 * i, 100.0 * i + 10, 0, 10) for i in range(6)])
+    con.execute("UPDATE regions SET geom = ? WHERE fid = 6", (b"GP\0\x01" + struct.pack("<i", 3006) + b"\x01\xff\xff\xff\xff",))
+    con.commit()
+    con.close()
+    rings = geopackage.read_rings(spark, path)
+    with pytest.raises(Exception):
+        rings.count()
+    assert {r.feature_id for r in rings.where("label = 'r2'").collect()} == {3}
+    near = rings.where("max_x >= 195 AND min_x <= 300 AND label <> 'r9'")
+    assert {r.feature_id for r in near.collect()} == {3, 4}
+    assert rings.where("max_x > 210 AND min_x < 300").count() == 0
