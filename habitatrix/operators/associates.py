@@ -13,6 +13,8 @@ species) share their rows, and equal observations are counted, not repeated.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -250,6 +252,33 @@ def near_buffers(occ: DataFrame, bounds: DataFrame) -> DataFrame:
     return occ.where(lon.between(low_lon, high_lon) & lat.between(low_lat, high_lat))
 
 
+#: A degree of latitude is longer than this everywhere.
+_DEGREE_M = 110_000.0
+
+
+def near_sites(rows: DataFrame, sites: DataFrame, radius: float = C.BUFFER_M) -> DataFrame:
+    """Rows in degrees whose cell, or a neighbour of it, holds a site.
+
+    A cell is as wide as the radius or wider at every latitude of the box, so nothing inside a buffer is
+    lost, and only what is left has to be projected.
+    """
+    tall = radius / _DEGREE_M
+    wide = tall / math.cos(math.radians(C.LAT_MAX))
+    spots = geo.unproject(site_spots(sites), "site_n", "site_e", "_lat", "_lon")
+    step = F.sequence(F.lit(-1), F.lit(1))
+    cells = spots.select(
+        geo.grid_cell(F.col("_lat"), tall).alias("_y"), geo.grid_cell(F.col("_lon"), wide).alias("_x")
+    ).distinct()
+    around = (
+        cells.withColumn("_dx", F.explode(step))
+        .withColumn("_dy", F.explode(step))
+        .select((F.col("_x") + F.col("_dx")).alias("_x"), (F.col("_y") + F.col("_dy")).alias("_y"))
+        .distinct()
+    )
+    placed = rows.withColumns({"_x": geo.grid_cell(F.col("lon"), wide), "_y": geo.grid_cell(F.col("lat"), tall)})
+    return placed.join(lookup(materialize(around, "site-cells"), _CELL_ROWS), ["_x", "_y"], "left_semi").select(*rows.columns)
+
+
 # -- spatial join -------------------------------------------------------------
 
 

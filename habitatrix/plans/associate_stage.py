@@ -87,12 +87,14 @@ def build_from_occurrences(
     """Full stage: focal sites inside the region, associates near them anywhere.
 
     The second pass starts from the degree box of the sampled sites, which the
-    parquet reader can use to skip row groups.
+    parquet reader can use to skip row groups, and keeps what is in a cell with a site.
     """
     sample_keys = ("seed", "runs", "sample")
     focal = A.to_points(A.focal_points(A.mark_focal(A.occurrence_rows(occ), selectors)))
     if edges is not None:
         focal = in_region(focal, edges)
+    # the draw and the totals both read them
+    focal = materialize(focal, "focal-points")
     sampling = {k: options[k] for k in sample_keys if k in options}
     sites = materialize(
         A.sample_sites(
@@ -105,13 +107,15 @@ def build_from_occurrences(
     )
     nearby = A.near_buffers(occ, A.buffer_bounds(sites, options.get("radius", C.BUFFER_M)))
     marked = A.mark_focal(A.occurrence_rows(nearby), selectors)
-    others = A.to_points(A.associate_points(marked))
+    radius = options.get("radius", C.BUFFER_M)
+    # written down, as the projection and the grouping that follow are too much for one generated method
+    near = materialize(A.near_sites(A.associate_points(marked), sites, radius), "near-records")
     contacts = materialize(
         A.site_contacts(
-            others,
+            A.to_points(near),
             sites,
             red_ids,
-            options.get("radius", C.BUFFER_M),
+            radius,
             options.get("shape", "polygon64"),
         ),
         "contacts",
