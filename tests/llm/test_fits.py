@@ -127,3 +127,66 @@ def test_log_count_ratios():
     for b in set(counts[0]) | set(counts[1]):
         one, zero = (math.log((counts[k].get(b, 0) + s.smoothing) / totals[k]) for k in (1, 0))
         assert ratio[b] == pytest.approx(one - zero, abs=1e-5)
+
+
+def test_follow_the_regularised_leader():
+    """Weights of the fit, one coordinate at a time by the update's own definition, and the temperature."""
+    from habitatrix.llm import language_id
+    from habitatrix.llm.ngrams import BITS, grams
+
+    rng = random.Random(6)
+    languages, s = ["aa", "bb", "cc"], language_id.Settings(epochs=2)
+    sound = {"aa": "the and of", "bb": "der und zu", "cc": "el los que"}
+    rows = [(i, lang, " ".join(rng.choice(sound[lang].split()) for _ in range(rng.randint(1, 4)))) for i in range(25) for lang in [rng.choice(languages)]]
+    idf = np.linspace(1, 2, 1 << BITS).astype("float32")
+    kinds = (pa.int64(), pa.string(), pa.string())
+    given = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "lang", "_text"])
+    got = next(language_id._train(languages, idf, s)(iter([given])))
+    w = np.frombuffer(got.column("w")[0].as_py(), dtype="float32").reshape(-1, 3)
+
+    examples = []
+    for _, lang, text in rows:
+        points, _, _ = language_id._simplified([text])
+        counts: dict[int, float] = {}
+        for o in language_id.ORDERS:
+            for b in grams(points, o)[1].tolist():
+                counts[b] = counts.get(b, 0) + float(idf[b])
+        whole = sum(counts.values())
+        examples.append(({b: s.scale * v / whole for b, v in counts.items()}, languages.index(lang)))
+    order = np.random.default_rng(7).permutation(len(examples)).tolist()
+    kept, spared = order[len(order) // 5 :], order[: len(order) // 5]
+    z: dict = {}
+    n: dict = {}
+
+    def weight(b, k):
+        v = z.get((b, k), 0.0)
+        if abs(v) <= s.l1:
+            return 0.0
+        return -(v - math.copysign(s.l1, v)) / ((s.beta + math.sqrt(n[b, k])) / s.alpha + s.l2)
+
+    def logits(x):
+        return [sum(v * weight(b, k) for b, v in x.items()) for k in range(3)]
+
+    for _ in range(s.epochs):
+        for i in kept:
+            x, y = examples[i]
+            e = [math.exp(v) for v in logits(x)]
+            old = {(b, k): weight(b, k) for b in x for k in range(3)}
+            for b, v in x.items():
+                for k in range(3):
+                    g = v * (e[k] / sum(e) - (k == y))
+                    before = n.get((b, k), 0.0)
+                    n[b, k] = before + g * g
+                    z[b, k] = z.get((b, k), 0.0) + g - (math.sqrt(n[b, k]) - math.sqrt(before)) / s.alpha * old[b, k]
+    assert max(abs(w[b, k] - weight(b, k)) for b, k in z) < 1e-4
+    assert {b for b in np.flatnonzero(np.abs(w).sum(axis=1)).tolist()} <= {b for b, _ in z}
+
+    def loss(t):
+        out = 0.0
+        for i in spared:
+            v = [u / t for u in logits(examples[i][0])]
+            out += math.log(sum(map(math.exp, v))) - v[examples[i][1]]
+        return out
+
+    grid = [math.exp(-3 + 0.1 * i) for i in range(61)]
+    assert got.column("t")[0].as_py() == pytest.approx(min(grid, key=loss))
