@@ -298,3 +298,45 @@ def test_region_cells_agree_with_parity(spark):
     assert 100 < len(want) < 1500
     for width in (200.0, 777.0, 50_000.0, None):
         assert {(r.E, r.N) for r in in_region(points, frame, width=width).collect()} == want, width
+
+
+def _two_ways(spark, monkeypatch, listed):
+    monkeypatch.setattr(A, "_LISTED", listed)
+    rows = [("a", "1", 1), ("a", None, 2), (None, "2", 3), (None, None, 4), ("b", "2", 5), ("c", "3", 6), ("c", "", 7)]
+    points = spark.createDataFrame(rows, "focal string, taxon string, i int")
+    selectors = spark.createDataFrame([("2", None), (None, "a"), (None, "a"), (None, "x'y")], "taxon_id string, name string")
+    marked = A.mark_focal(points, selectors)
+    return [sorted(r.i for r in df.collect()) for df in (marked.where("is_focal"), A.focal_points(marked), A.associate_points(marked))]
+
+
+@pytest.mark.parametrize("listed", [1_000, 1, 0])
+def test_marks_by_list_and_by_join_agree(spark, monkeypatch, listed):
+    assert _two_ways(spark, monkeypatch, listed) == [[1, 2, 3, 5], [1, 2, 5], [4, 6, 7]]
+
+
+def test_no_selectors_mark_nothing(spark):
+    points = spark.createDataFrame([("a", "1")], "focal string, taxon string")
+    none = spark.createDataFrame([], "taxon_id string, name string")
+    assert [r.is_focal for r in A.mark_focal(points, none).collect()] == [False]
+
+
+def test_species_are_selected_below_the_joins_of_points(spark):
+    """Or all records are shuffled before most of them are dropped."""
+    names = spark.range(50).selectExpr("id AS part", "concat('sp', id) AS focal", "string(id) AS taxon")
+    points = spark.range(1000).selectExpr("id % 50 AS part", "id AS row").join(names.hint("merge"), "part")
+    selectors = spark.createDataFrame([(None, "sp3"), ("7", None)], "taxon_id string, name string")
+    focal = A.focal_points(A.mark_focal(points, selectors))
+    plan = focal._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [i for i, line in enumerate(plan) if "Join" in line]
+    assert len(joins) == 1 and not any("Filter" in line for line in plan[: joins[0]])
+    assert any("Filter" in line and "sp3" in line for line in plan[joins[0] :])
+    assert focal.count() == 40
+
+
+def test_focal_records_are_counted_once(world, monkeypatch):
+    _, focal, others, red = world
+    calls, plain = [], A.focal_totals
+    monkeypatch.setattr(A, "focal_totals", lambda df: calls.append(df) or plain(df))
+    stage = associate_stage.build(focal, others, red, sample=20)
+    assert {(r.focal, r.focal_obs) for r in stage.found.collect()} == {("Focal a", 30), ("Focal b", 30)}
+    assert len(calls) == 1
