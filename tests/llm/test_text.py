@@ -301,3 +301,16 @@ def test_line_dedup_without_blanks(spark):
     rows += [(50, "two words"), (51, "two words"), (52, "\u4e8c\u4e09"), (53, "\u4e8c\u4e09")]
     got = line_dedup.deduplicate(spark.createDataFrame(rows, TEXT), line_dedup.WHOLE).collect()
     assert {r.doc_id for r in got if r.n_removed} == {2 * i + 1 for i in range(len(pairs))}
+
+
+def test_line_dedup_bands_in_steps_are_all_bands(spark):
+    """Each step has its own keys, so that no pair is lost or met twice."""
+    texts = ["one two three four", " ".join(f"w{i}" for i in range(15)), " ".join(f"w{i}" for i in range(30))]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], TEXT)
+    lines = line_dedup._lines(docs, line_dedup.WHOLE)
+    sketches = line_dedup._sketches(lines).cache()
+    whole = sorted(tuple(r) for r in line_dedup._bands(sketches).collect())
+    steps = [{tuple(r) for r in line_dedup._bands(sketches, k, line_dedup.STEPS).collect()} for k in range(line_dedup.STEPS)]
+    assert all(steps) and sorted(r for step in steps for r in step) == whole
+    keys = [{r[2] for r in step} for step in steps]
+    assert sum(map(len, keys)) == len(set().union(*keys))
