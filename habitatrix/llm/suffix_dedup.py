@@ -12,8 +12,8 @@ one in fourteen.
    the bytes before it, read backwards.  Each bucket is sorted by multikey quicksort, eight bytes a
    key, and each window around an anchor is compared among the suffixes that begin alike.
 4. Suffixes that begin like the first or the last one of a bucket may go on in the next: their
-   windows are compared across the boundary, by their whole bytes.  A beginning that very many
-   suffixes share is split over buckets and ends up there too.
+   windows are compared across the boundary, by their whole bytes, the smallest document of each window
+   only.  A beginning that very many suffixes share is split over buckets and ends up there too.
 
 Of equal suffixes in a batch only the smallest document is compared; the others are known to repeat.
 """
@@ -44,6 +44,7 @@ SLICE, BLOCK = 1 << 18, 10_000
 class Settings:
     per_bucket: int = 1_000_000  # anchors that one task counts
     per_range: int = 50_000  # suffixes that one task sorts
+    bucket_bits: int = 6  # at least so many: a document's shared anchors are one row for each bucket
 
 
 def anchors(data, bounds):
@@ -345,15 +346,23 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     ends = np.flatnonzero(edge)
     for at in range(0, len(ends), BLOCK):
         some = ends[at : at + BLOCK]
-        k = keys[first[some]]
-        for o, (window, _) in enumerate(_window_hashes(k)):
+        k, own_least = keys[first[some]], least[some]
+        for o, (window, h) in enumerate(_window_hashes(k)):
             valid = np.flatnonzero((k[:, -2] >= o) & (k[:, -1] >= SIDE - o))
+            by = valid[np.argsort(h[valid], kind="stable")]
+            if not len(by):
+                continue
+            head = np.append(True, h[by][1:] != h[by][:-1])
+            low = np.minimum.reduceat(own_least[by], np.flatnonzero(head))[np.cumsum(head) - 1]
+            again = low < own_least[by]
+            bits[some[by[again]]] |= 1 << o
+            asked = by[~again]
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(least[some[valid]]),
-                    pa.array(name[first[some[valid]]]),
-                    pa.array(np.full(len(valid), 1 << o)),
-                    pa.array([w.tobytes() for w in window[valid]], pa.binary()),
+                    pa.array(own_least[asked]),
+                    pa.array(name[first[some[asked]]]),
+                    pa.array(np.full(len(asked), 1 << o)),
+                    pa.array([w.tobytes() for w in window[asked]], pa.binary()),
                 ],
                 names=["doc_id", "name", "bits", "window"],
             )
@@ -365,30 +374,46 @@ def _sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     )
 
 
+def _lists(column):
+    """All values of a column of lists of integers, and where each row's begin and end."""
+    import numpy as np
+
+    flat, size = column.flatten(), column.value_lengths().fill_null(0)
+    return np.asarray(flat), np.concatenate([[0], np.cumsum(np.asarray(size))])
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Byte spans to remove from each text and what is left of it."""
     import numpy as np
 
     for part in rows_by_bytes(batches, "_text", SLICE):
         data, bounds = texts_of(part, "_text")
-        where, _, row = anchors(data, bounds)
         raw = np.zeros(len(data) + 1, dtype="int64")
-        at = np.searchsorted(row, np.arange(part.num_rows + 1))
-        whole, told = part.column(2).to_pylist(), part.column(3).to_pylist()
-        wanted = [i for i in range(part.num_rows) if whole[i] or told[i]]
-        for i in wanted:
-            own = slice(at[i], at[i + 1])
-            _, name = suffixes(data, bounds, where[own], row[own])
+        whole = part.column(2).to_pylist()
+        (said, ends), (flags, _) = _lists(part.column(3)), _lists(part.column(4))
+        wanted = np.diff(ends) > 0
+        wanted |= np.fromiter(map(bool, whole), dtype=bool, count=len(whole))
+        if wanted.any():
+            where, _, row = anchors(data, bounds)
+            where, row = where[wanted[row]], row[wanted[row]]
+            _, name = suffixes(data, bounds, where, row)
             name = name.view("int64")
-            bits = np.where(np.isin(name, _members(whole[i]).view("int64")), EVERY, 0)
-            known = np.array([(t["name"], t["bits"]) for t in told[i] or ()], dtype="int64").reshape(-1, 2)
-            known = known[np.argsort(known[:, 0])]
-            if len(known):
-                place = np.minimum(np.searchsorted(known[:, 0], name), len(known) - 1)
-                bits |= np.where(known[place, 0] == name, known[place, 1], 0)
+            bits = np.zeros(len(name), dtype="int64")
+            at = np.searchsorted(row, np.arange(part.num_rows + 1))
+            for i in np.flatnonzero(wanted):
+                own = slice(at[i], at[i + 1])
+                if whole[i]:
+                    bits[own] = np.where(np.isin(name[own], _members(whole[i]).view("int64")), EVERY, 0)
+                known, flag = said[ends[i] : ends[i + 1]], flags[ends[i] : ends[i + 1]]
+                if len(known):
+                    order = np.argsort(known)
+                    known, flag = known[order], flag[order]
+                    place = np.minimum(np.searchsorted(known, name[own]), len(known) - 1)
+                    bits[own] |= np.where(known[place] == name[own], flag[place], 0)
+            low, high = bounds[row], bounds[row + 1]
             for o in range(SIDE + 1):
-                begin = where[own][(bits >> o) & 1 != 0] - o
-                begin = begin[(begin >= bounds[i]) & (begin + WINDOW <= bounds[i + 1])]
+                begin = where - o
+                begin = begin[((bits >> o) & 1 != 0) & (begin >= low) & (begin + WINDOW <= high)]
                 np.add.at(raw, begin, 1)
                 np.add.at(raw, begin + WINDOW, -1)
         gone = np.cumsum(raw)[:-1] > 0
@@ -426,7 +451,7 @@ def repeated_spans(docs: DataFrame, settings: Settings = Settings()) -> DataFram
         F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("_text")
     )
     total = named.agg(F.coalesce(F.sum(F.octet_length("_text")), F.lit(0))).first()[0]
-    bits = max(3, (int(total) * 2 // (SIDE + 2) // s.per_bucket).bit_length())
+    bits = max(s.bucket_bits, (int(total) * 2 // (SIDE + 2) // s.per_bucket).bit_length())
     counted = named.mapInArrow(_counted(bits), "bucket int, keys binary, docs binary")
     shared = materialize(counted.groupBy("bucket").applyInPandas(_shared, "doc_id bigint, keys binary"), "shared-anchors")
     by_doc = shared.groupBy("doc_id").agg(F.collect_list("keys").alias("keys"))
@@ -452,9 +477,9 @@ def repeated_spans(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     across = edges.join(least, "window").where("least < doc_id").select("doc_id", "name", "bits")
     known = told.where("window IS NULL").select("doc_id", "name", "bits").unionByName(across)
     known = known.groupBy("doc_id", "name").agg(F.bit_or("bits").alias("bits"))
-    known = known.groupBy("doc_id").agg(F.collect_list(F.struct("name", "bits")).alias("told"))
+    known = known.groupBy("doc_id").agg(F.collect_list("name").alias("told"), F.collect_list("bits").alias("bits"))
     whole = resolved.where("NOT need").groupBy("doc_id").agg(F.collect_list("names").alias("whole"))
-    by_doc = materialize(whole.join(known, "doc_id", "full_outer").select("doc_id", "whole", "told"), "repeats")
+    by_doc = materialize(whole.join(known, "doc_id", "full_outer").select("doc_id", "whole", "told", "bits"), "repeats")
     release(spark)
     return named.join(by_doc, "doc_id", "left").mapInArrow(
         _removed,

@@ -20,12 +20,21 @@ __all__ = ["held_out", "materialize", "read", "release", "rows_by_bytes", "ship"
 SLICE_BYTES = 1 << 21
 
 
+#: Bytes of one batch between Spark and Python; by rows alone it would grow with the texts, and be held several times.
+BATCH_BYTES = 1 << 22
+_BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package, once for each application."""
+    """Give the executors this package, once for each application.
+
+    The session's batches get ``BATCH_BYTES``, unless the application's settings name a size.
+    """
     context = spark.sparkContext
+    if not context.getConf().contains(_BATCH_CONF):
+        spark.conf.set(_BATCH_CONF, str(BATCH_BYTES))
     if context.applicationId in _shipped:
         return
     package = Path(__file__).resolve().parents[1]

@@ -188,3 +188,29 @@ def test_embedding_links(spark):
     assert all(got[i].n_links == 0 and got[i].kept for i in range(900, 906))
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
     assert embedding_dedup.link(docs.limit(0)).count() == 0
+
+
+def test_suffix_dedup_boundary_windows(spark):
+    """At a boundary, a window that many suffixes of a range share is compared further once."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    passage = "a passage that two hundred documents share, longer than a window by far"
+    texts = ["".join(map(chr, rng.integers(97, 123, 40))) + passage + "".join(map(chr, rng.integers(97, 123, 40))) for _ in range(200)]
+    raw = [t.encode() for t in texts]
+    data, bounds = np.frombuffer(b"".join(raw), dtype="uint8"), np.cumsum([0, *map(len, raw)])
+    where, _, row = suffix_dedup.anchors(data, bounds)
+    keys, name = suffix_dedup.suffixes(data, bounds, where, row)
+    inside = keys[:, :24].copy().view("S24")[:, 0]
+    common = inside == max(set(inside.tolist()), key=inside.tolist().count)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([k.tobytes() for k in keys[common]], pa.binary()), pa.array(name[common].view("int64")), pa.array(row[common])],
+        names=["suffix", "name", "doc_id"],
+    )
+    told = pa.Table.from_batches(list(suffix_dedup._sorted_buckets([batch]))).to_pylist()
+    windows = [r["window"] for r in told if r["window"] is not None]
+    assert windows and len(windows) == len(set(windows))
+    # what is not compared further is known to repeat
+    bits = {r["doc_id"]: r["bits"] for r in told if r["window"] is None}
+    assert len(bits) == common.sum() - 1 and all(bits.values())
