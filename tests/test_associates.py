@@ -340,3 +340,22 @@ def test_focal_records_are_counted_once(world, monkeypatch):
     stage = associate_stage.build(focal, others, red, sample=20)
     assert {(r.focal, r.focal_obs) for r in stage.found.collect()} == {("Focal a", 30), ("Focal b", 30)}
     assert len(calls) == 1
+
+
+def test_hits_combine_before_they_are_shuffled(spark):
+    """Rows are dealt by run, species and taxon (or locality) only, never by position."""
+    contacts = spark.createDataFrame(
+        [(1.0, 1.0, "7", "L1", True, 1.0, 2.0, 3), (1.0, 1.0, "7", "L1", True, 1.0, 3.0, 1), (5.0, 1.0, "8", "L1", True, 5.0, 1.0, 1)],
+        "site_e double, site_n double, taxon string, LocalityKey string, is_red boolean, E double, N double, records bigint",
+    )
+    sites = spark.createDataFrame(
+        [(1, "a", 0, "L1", 1.0, 1.0), (1, "a", 1, "L1", 1.0, 1.0), (1, "a", 2, "L1", 5.0, 1.0)],
+        "run int, focal string, fid bigint, LocalityKey string, E double, N double",
+    )
+    hits, red = A.taxon_hits(contacts, sites), A.red_species_local(contacts, sites)
+    for df, shuffles in ((hits, 1), (red, 1)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning(run") == shuffles
+        assert plan.count("Exchange hashpartitioning(site_e") <= 1  # the few owners of positions
+    assert {(r.taxon, r.n_hits) for r in hits.collect()} == {("7", 8), ("8", 1)}
+    assert [(r.LocalityID, r.n_red) for r in red.collect()] == [("L1", 2)]

@@ -115,3 +115,30 @@ def test_effort_ranks(spark, n):
     want = [1.0 if r.effort_index == 0 else min(max(med / r.effort_index, 0.2), 5.0) for r in got]
     assert [r.w_inv for r in got] == pytest.approx(want)
     assert sum(r.n_localities for r in L.strata_histogram(L.with_effort(core)).collect()) == n
+
+
+def _shuffles(df):
+    """Exchanges by locality between the tables that are written down and the result."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(k_lat")
+
+
+def test_localities_are_dealt_once(spark):
+    """One shuffle for the days and one for the taxa of a locality, whatever is aggregated from them."""
+    rows = [(59.1 + i % 7 / 1000, 17.1, 59.1, 17.1, f"2020-0{1 + i % 9}-11", i % 5) for i in range(200)]
+    rows += [(None, None, 59.2, None, None, 3), (None, None, None, 17.2, "2020-13-01", None)]
+    obs = spark.createDataFrame(
+        rows, "k_lat double, k_lon double, lat_r double, lon_r double, date_s string, taxon_id bigint"
+    )
+    counts = L.observation_counts(obs)
+    assert counts.count() == len({r[:2] + r[4:] for r in rows[:200]}) + 2
+    assert _shuffles(L.locality_core(counts)) == 2
+    labels = spark.createDataFrame([(1, "b"), (2, "a"), (3, None)], "taxon_id bigint, habitat string")
+    best = L.dominant_habitat(counts, labels)
+    assert _shuffles(best) == 1
+    core = {r["LocalityID"]: r for r in L.locality_core(counts).collect()}
+    assert core["cell_59.1_17.1"]["first_event"] == "2020-01-11"
+    assert (core[None]["n_events"], core[None]["last_event"]) == (1, "2020-13-01")
+    assert (core[None]["lat_r"], core[None]["lon_r"]) == (59.2, 17.2)
+    # taxa 0 and 4 have no label and taxon 3 a missing one: three of five
+    named = {(r["dominant_habitat"], r["dominant_habitat_purity"]) for r in best.where("k_lat IS NOT NULL").collect()}
+    assert named == {("Unknown", 0.6)}
