@@ -314,3 +314,12 @@ def test_line_dedup_bands_in_steps_are_all_bands(spark):
     assert all(steps) and sorted(r for step in steps for r in step) == whole
     keys = [{r[2] for r in step} for step in steps]
     assert sum(map(len, keys)) == len(set().union(*keys))
+
+
+def test_line_tokens_are_made_once(spark):
+    """The optimizer adds no test of the tokens below the generator, which would make them twice."""
+    docs = spark.createDataFrame([(1, "one two three\nfour five six seven eight nine ten")], "doc_id bigint, text string")
+    sketches = line_dedup._sketches(line_dedup._lines(docs, line_dedup.WHOLE).where("h1 IS NOT NULL"))
+    plan = sketches._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    assert sketches.count() == 3  # trigrams of the short line, trigrams and words of the one of seven
