@@ -17,6 +17,9 @@ from habitatrix.llm.ngrams import BITS, ROWS, bounded_sample, codepoints, grams,
 from habitatrix.llm.tables import held_out, materialize, rows_by_bytes, ship, whole_text
 
 UNKNOWN = "und"
+
+#: Text that is scored at a time; every n-gram of it takes about 50 bytes.
+SLICE = 1 << 19
 ORDERS = (1, 2, 3)
 
 
@@ -167,7 +170,7 @@ def _predict(shared):
         import numpy as np
 
         m = shared.value
-        for part in rows_by_bytes(batches, "_text"):
+        for part in rows_by_bytes(batches, "_text", SLICE):
             texts = part.column(1).to_pylist()
             points, rows, has = _simplified(texts)
             sums = np.zeros((len(texts), m.table.shape[1]))

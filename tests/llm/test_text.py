@@ -323,3 +323,20 @@ def test_line_tokens_are_made_once(spark):
     plan = sketches._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
     assert sketches.count() == 3  # trigrams of the short line, trigrams and words of the one of seven
+
+
+def test_batches_of_wide_rows_are_bounded(spark):
+    import pyarrow as pa
+
+    from habitatrix.llm import tables
+
+    tables.ship(spark)
+    wide = spark.range(0, 2_000, 1, 1).selectExpr("id", "repeat(string(id % 10), 20000) AS text")
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    got = wide.mapInArrow(sizes, "n bigint, bytes bigint").collect()
+    assert sum(r["n"] for r in got) == 2_000
+    assert max(r["bytes"] for r in got) <= 1.1 * tables.BATCH_BYTES
