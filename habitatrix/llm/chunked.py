@@ -9,6 +9,8 @@ once; the table finds it again by a 64-bit hash.  Runs of spaces stay inside one
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 
 import numpy as np
@@ -190,6 +192,17 @@ def _pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def forget() -> None:
+    """Free what ``opened`` keeps: a worker process outlives its stage, and the next one may not need the tables."""
+    if not _open:
+        return
+    _open.clear()
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def opened(kind: type, path: str):
     """One instance for each worker process."""
     if (kind, path) not in _open:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from habitatrix.llm.chunked import forget
 from habitatrix.llm.ngrams import BITS, ROWS, bounded_sample, codepoints, grams, letters, presence
 from habitatrix.llm.tables import held_out, materialize, rows_by_bytes, ship, whole_text
 
@@ -50,8 +51,9 @@ def _simplified(texts: list[str]):
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import numpy as np
 
+    forget()
     total, n = np.zeros(1 << BITS, dtype="int64"), 0
-    for part in rows_by_bytes(batches, "_text"):
+    for part in rows_by_bytes(batches, "_text", SLICE):
         texts = part.column(0).to_pylist()
         for i in range(0, len(texts), ROWS):
             some = texts[i : i + ROWS]
@@ -81,6 +83,7 @@ def _train(languages: list[str], idf, s: Settings):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        forget()
         rows = sorted(
             (doc if doc is not None else -1, lang, text)
             for b in batches
@@ -165,13 +168,14 @@ def fit(docs: DataFrame, settings: Settings = Settings()) -> Model | None:
     return Model(languages, np.ascontiguousarray(table), row["t"], settings.scale)
 
 
-def _predict(shared):
+def _predict(shared, with_text: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
+        forget()
         m = shared.value
         for part in rows_by_bytes(batches, "_text", SLICE):
-            texts = part.column(1).to_pylist()
+            texts = [t or "" for t in part.column(1).to_pylist()]
             points, rows, has = _simplified(texts)
             sums = np.zeros((len(texts), m.table.shape[1]))
             for order in ORDERS:
@@ -187,34 +191,37 @@ def _predict(shared):
             best = p.argmax(axis=1)
             names = np.array(m.languages, dtype=object)[best]
             names[~has] = UNKNOWN
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column(0),
-                    pa.array(names, pa.string()),
-                    pa.array(np.where(has, p[np.arange(len(p)), best], 0.0)),
-                ],
-                names=["_row", "lang_pred", "score"],
-            )
+            found = {
+                "_row": part.column(0),
+                "lang_pred": pa.array(names, pa.string()),
+                "score": pa.array(np.where(has, p[np.arange(len(p)), best], 0.0)),
+            }
+            if with_text:
+                found["_text"] = part.column(1)
+            yield pa.RecordBatch.from_arrays(list(found.values()), names=list(found))
 
     return run
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None, with_text: bool = False) -> DataFrame:
     """Columns of ``docs`` but ``text`` and ``lang``, with ``lang_pred`` and ``score`` for each row.
 
     ``und`` with score 0 for texts that are NULL or have no letter, and for all without a model.
+    ``with_text`` keeps ``text`` too, which goes to Python and back only once.
     """
     spark = docs.sparkSession
     ship(spark)
     kept = [c for c in docs.columns if c.lower() not in ("text", "lang", "lang_pred", "score")]
     row = F.struct(*[F.col(f"`{c}`") for c in kept]).alias("_row")
+    text = [F.col("text").cast("string").alias("_text")] if with_text else []
+    named = docs.select(row, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"), *text)
     if model is None:
-        scored = docs.select(row, F.lit(UNKNOWN).alias("lang_pred"), F.lit(0.0).alias("score"))
+        scored = named
     else:
-        narrow = docs.select(row, whole_text().alias("_text"))
-        schema = narrow.select("_row", F.lit("").alias("lang_pred"), F.lit(0.0).alias("score")).schema
-        scored = narrow.mapInArrow(_predict(spark.sparkContext.broadcast(model)), schema)
-    return scored.select("_row.*", "lang_pred", "score")
+        narrow = docs.select(row, F.col("text").cast("string").alias("_text"))
+        scored = narrow.mapInArrow(_predict(spark.sparkContext.broadcast(model), with_text), named.schema)
+    texts = [F.col("_text").alias("text")] if with_text else []
+    return scored.select("_row.*", *texts, "lang_pred", "score")
 
 
 def identify(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

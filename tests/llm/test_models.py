@@ -192,3 +192,31 @@ def test_many_label_values(spark):
     hot = got.where("lang = 'hot'")
     assert got.where("lang <> 'hot' AND weight = 1").count() == 20_000
     assert 400 < hot.count() < 600 and hot.select("weight").distinct().collect() == [(40.0,)]
+
+
+def test_language_tasks_free_the_tables_of_other_stages():
+    import public_tokenizers
+    import pyarrow as pa
+
+    from habitatrix.llm import chunked, language_id
+
+    chunked.opened(chunked.ByteEncoder, public_tokenizers.path("byte_bpe_50k.json"))
+    texts = pa.RecordBatch.from_arrays([pa.array(["ein Text", "zwei"])], names=["_text"])
+    assert sum(b.num_rows for b in language_id._frequencies(iter([texts]))) > 1
+    assert not chunked._open
+
+
+def test_language_keeps_the_text_it_was_given(spark, corpus):
+    from pyspark.sql import functions as F
+
+    from habitatrix.llm import language_id
+
+    docs = spark.createDataFrame([(1, "en", "a few words"), (2, None, None), (3, "de", "")], "doc_id bigint, lang string, text string")
+    learn = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("_text"))
+    for model in (language_id.fit(learn), None):
+        found = language_id.predict(docs, model, with_text=True)
+        assert found.columns == ["doc_id", "text", "lang_pred", "score"]
+        rows = {r.doc_id: r for r in found.collect()}
+        assert [rows[i].text for i in (1, 2, 3)] == ["a few words", None, ""]
+        plain = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs, model).collect()}
+        assert {i: (r.lang_pred, r.score) for i, r in rows.items()} == plain
