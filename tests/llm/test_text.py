@@ -325,6 +325,46 @@ def test_line_tokens_are_made_once(spark):
     assert sketches.count() == 3  # trigrams of the short line, trigrams and words of the one of seven
 
 
+def test_lines_compared_word_by_word_first_link_as_by_edit_distance(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(11)
+    words = ["".join(rng.choices("abcde", k=rng.randint(1, 8))) for _ in range(60)]
+    pairs = []
+    for n in (3, 15, 16, 40, 90):
+        for share in (0.0, 0.02, 0.08, 0.1, 0.12, 0.3):
+            x = rng.choices(words, k=n)
+            y = [rng.choice(words) if rng.random() < share else w for w in x]
+            letters = [rng.choice("xyz") if c != " " and rng.random() < share / 2 else c for c in " ".join(x)]
+            moved = y[1:] + y[:1]
+            pairs += [(" ".join(x), z) for z in (" ".join(y), "".join(letters), " ".join(y[1:]), " ".join(moved), f"{y[0]}q {' '.join(y)}")]
+    texts = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)], "node bigint, norm string")
+    both = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(len(pairs))], "a bigint, b bigint")
+    got = {r.a // 2 for r in line_dedup._similar(both, texts, line_dedup.WHOLE).collect()}
+    frame = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, x string, y string")
+    most = F.floor(0.1 * F.greatest(F.length("x"), F.length("y")) + 1e-9).cast("int")
+    rows = frame.withColumn("most", most).select("i", "most", F.levenshtein("x", "y").alias("d"), F.expr(line_dedup._BY_WORDS).alias("by_words"))
+    rows = rows.where(F.size(F.split("x", " ")) == F.size(F.split("y", " "))).collect()
+    assert all(r.by_words >= min(r.d, r.most + 1) for r in rows)
+    proved = {r.i for r in rows if r.by_words <= r.most}
+    plain = {r.i for r in frame.where(F.levenshtein("x", "y") <= most).collect()}
+    assert got == plain and proved <= plain and len(proved) >= len(plain) / 3 > 10
+
+
+def test_line_steps_release_their_shuffle_files(spark, monkeypatch):
+    done = []
+    write, free = line_dedup.materialize, line_dedup.release
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, label: (done.append(label), write(df, label))[1])
+    monkeypatch.setattr(line_dedup, "release", lambda session: (done.append("release"), free(session)))
+    lines = ["one two three four five six seven", "one two three four five six sevem", "one two three four five six seven eight nine ten"]
+    docs = spark.createDataFrame(list(enumerate(lines)), TEXT)
+    got = {r.doc_id: r.n_removed for r in line_dedup.deduplicate(docs, line_dedup.WHOLE).collect()}
+    assert got == {0: 0, 1: 1, 2: 0}
+    large = {"line-pairs", "line-texts", "line-links", "line-roots", "line-rest"}
+    assert large <= set(done)
+    assert all(done[i + 1] == "release" for i, label in enumerate(done) if label in large)
+
+
 def test_batches_of_wide_rows_are_bounded(spark):
     import pyarrow as pa
 
