@@ -190,7 +190,8 @@ def sample_sites(
     share = F.lit(2.0 * size + 100) / F.col("_n")
     # compared as text with the first eight digits of a key; "g" is above all of them
     limit = F.when(share < 1, F.lpad(F.lower(F.hex(F.floor(share * float(1 << 32)).cast("bigint"))), 8, "0")).otherwise("g")
-    each = focal.join(counts, focal["focal"].eqNullSafe(counts["focal"])).drop(counts["focal"])
+    drawn = focal.select("focal", "LocalityKey", *_cell_columns(focal), "row_key", "E", "N")
+    each = drawn.join(counts, drawn["focal"].eqNullSafe(counts["focal"])).drop(counts["focal"])
     # the record's part of the key is made below the generator, once for all runs; NULLs are skipped as in one key
     own = [F.col(c).cast("string") for c in ("row_key", "E", "N")]
     each = each.withColumn("_own", F.when(F.coalesce(*own).isNotNull(), F.concat_ws("|", *own)))

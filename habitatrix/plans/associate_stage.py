@@ -94,8 +94,8 @@ def build_from_occurrences(
     focal = A.to_points(A.focal_points(A.mark_focal(A.occurrence_rows(occ), selectors)))
     if edges is not None:
         focal = in_region(focal, edges)
-    # the draw and the totals both read them
-    focal = materialize(focal, "focal-points")
+    # the draw and the totals both read them; neither asks for names and taxa, which the input's joins then don't carry
+    focal = materialize(focal.drop("vern", "taxon"), "focal-points")
     totals = materialize(A.focal_totals(focal), "focal-totals")
     sampling = {k: options[k] for k in sample_keys if k in options}
     sites = materialize(
@@ -112,7 +112,8 @@ def build_from_occurrences(
     marked = A.mark_focal(A.occurrence_rows(nearby), selectors)
     radius = options.get("radius", C.BUFFER_M)
     # written down, as the projection and the grouping that follow are too much for one generated method
-    near = materialize(A.near_sites(A.associate_points(marked), sites, radius), "near-records")
+    near = A.near_sites(A.associate_points(marked), sites, radius).drop("focal", "vern", "row_key")
+    near = materialize(near, "near-records")
     contacts = materialize(
         A.site_contacts(
             A.to_points(near),

@@ -226,6 +226,28 @@ def test_full_stage_from_raw_records(spark):
     assert keys <= exact and len(keys) > 0
 
 
+def test_records_are_written_without_columns_that_nobody_reads(spark, monkeypatch):
+    written, write = {}, associate_stage.materialize
+
+    def noted(df, label="step"):
+        written[label] = set(df.columns)
+        return write(df, label)
+
+    monkeypatch.setattr(associate_stage, "materialize", noted)
+    monkeypatch.setattr(A, "materialize", noted)
+    records = [("f1", "Taxon:1", "Focal a", "v", 59.0, 17.0), *[(f"o{i}", "urn:Taxon:5", "other", "w", 59.0001, 17.0) for i in range(16)]]
+    occ = spark.createDataFrame(
+        records, "occurrenceID string, taxonID string, scientificName string, vernacularName string, decimalLatitude double, decimalLongitude double"
+    )
+    red = spark.createDataFrame([("5",)], "taxon_id string")
+    selectors = spark.createDataFrame([(None, "Focal a")], "taxon_id string, name string")
+    found = associate_stage.build_from_occurrences(occ, selectors, red).found.first()
+    assert (found.focal_obs, found.ids, found.red_ids) == (1, ["5"], ["5"])
+    assert written["near-records"] == {"taxon", "LocalityKey", "lat", "lon"}
+    assert not written["focal-points"] & {"vern", "taxon"}
+    assert not written["draws"] & {"vern", "taxon"}
+
+
 def test_bounds_are_safe(spark):
     from habitatrix.functions import geo
 
