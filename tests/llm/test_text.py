@@ -365,6 +365,75 @@ def test_line_steps_release_their_shuffle_files(spark, monkeypatch):
     assert all(done[i + 1] == "release" for i, label in enumerate(done) if label in large)
 
 
+def test_counts_of_characters_drop_no_pair_within_the_distance(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    texts = []
+    for n in (20, 60, 120, 255, 256, 400):
+        for edits in (0.02, 0.05, 0.1, 0.11, 0.3, None):
+            for _ in range(6):
+                x = "".join(rng.choices(" eanitroshlducmxyz\u00e9\u4e00", k=n))
+                y = "".join(rng.choices(" eanitroshlducm", k=n)) if edits is None else x
+                for _ in range(int((edits or 0) * n)):
+                    at = rng.randrange(len(y))
+                    y = y[:at] + rng.choice(["", rng.choice("eatz q"), y[at] + rng.choice("eatz q")]) + y[at + 1 :]
+                texts.append((x, y))
+    frame = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "i int, x string, y string")
+    longest = F.greatest(F.length("x"), F.length("y"))
+    found = frame.select("i", "x", "y", (F.levenshtein("x", "y") <= F.floor(0.1 * longest + 1e-9)).alias("near"))
+    for end in ("x", "y"):
+        counted = line_dedup._counts(frame.select("i", F.col(end).alias("norm"), F.length(end).alias("size")))
+        found = found.join(counted.select("i", *[F.col(c).alias(c + end) for c in ("size", "lo", "hi")]), "i")
+    found = found.withColumn("alike", line_dedup._alike("x", "y", F.greatest("sizex", "sizey"), line_dedup.WHOLE)).collect()
+    assert len(found) == len(texts) and all(r.alike for r in found if r.near)
+    assert sum(r.near for r in found) > 60
+    short = [r for r in found if len(r.x) <= 200 and r.i // 6 % 6 == 5]
+    assert not any(r.alike for r in short)
+    assert all(r.alike for r in found if max(len(r.x), len(r.y)) > line_dedup.COUNTED_CHARS)
+
+
+def test_chance_partners_go_before_texts_are_fetched(spark, monkeypatch):
+    """Short lines that share a few words meet in bands, far more often in larger tables."""
+    rng = random.Random(13)
+    words = ["".join(rng.choices("bcdfghklmnprstvwaeiou", k=rng.randint(4, 8))) for _ in range(40)]
+    lines = [" ".join(rng.choices(words, k=10)) for _ in range(600)]
+    lines += [line.replace(" ", "  x", 1) for line in lines[:20]]
+    rows = {}
+    write = line_dedup.materialize
+
+    def counted(df, label):
+        out = write(df, label)
+        rows[label] = rows.get(label, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "materialize", counted)
+    docs = spark.createDataFrame(list(enumerate(lines)), TEXT)
+    got = {r.doc_id for r in line_dedup.deduplicate(docs, line_dedup.WHOLE).collect() if r.n_removed}
+    assert got == set(range(600, 620))
+    assert rows["line-blocks"] > 3000
+    assert rows["line-pairs"] + rows["line-rest"] < rows["line-blocks"] / 10
+
+
+def test_line_tables_go_when_nothing_reads_them_again(spark):
+    import pathlib
+
+    from habitatrix.session import discard, materialize, session_scratch
+
+    docs = spark.createDataFrame([(1, "one two three four five six seven"), (2, "one two three four five six sevem")], TEXT)
+    folder = pathlib.Path(session_scratch(spark).removeprefix("file:"))
+    before = {p.name for p in folder.glob("line-*")}
+    assert line_dedup.deduplicate(docs, line_dedup.WHOLE).collect()
+    labels = {p.name.rsplit("-", 1)[0] for p in folder.glob("line-*") if p.name not in before}
+    assert "line-flags" in labels and not labels & {"line-sketches", "line-blocks", "line-roots"}
+    mine, other = materialize(docs, "one"), materialize(docs, "two")
+    outside = folder.parent / "outside"
+    docs.write.parquet(str(outside))
+    discard(mine, spark.read.parquet(str(outside)))
+    assert not pathlib.Path(mine.inputFiles()[0].removeprefix("file://")).exists()
+    assert other.count() == spark.read.parquet(str(outside)).count() == 2
+
+
 def test_batches_of_wide_rows_are_bounded(spark):
     import pyarrow as pa
 
