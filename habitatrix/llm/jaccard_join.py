@@ -33,6 +33,9 @@ from habitatrix.session import lookup
 
 WORDS = 5
 
+#: Text that is hashed at a time; the arrays of each task are about 50 times as large.
+SLICE = 1 << 19
+
 #: Similarity as a fraction of whole numbers.
 NUMERATOR, DENOMINATOR = 3, 4
 
@@ -88,7 +91,7 @@ def signature(hashes, band: int):
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
-    for part in rows_by_bytes(batches, "_text"):
+    for part in rows_by_bytes(batches, "_text", SLICE):
         sets = shingles(*texts_of(part, "_text"))
         d1 = [int(np.bitwise_xor.reduce(mix(s)).view("int64")) if len(s) else 0 for s in sets]
         d2 = [int(mix(s + np.uint64(77)).sum(dtype="uint64").view("int64")) if len(s) else 0 for s in sets]
@@ -99,7 +102,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _all_shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in rows_by_bytes(batches, "_text"):
+    for part in rows_by_bytes(batches, "_text", SLICE):
         for s in shingles(*texts_of(part, "_text")):
             yield pa.RecordBatch.from_arrays([pa.array(s.view("int64"))], names=["h"])
 
@@ -129,7 +132,7 @@ def _prefixes(shared, bits: int, flush: int = 500_000):
                 names=["bucket", "keys", "docs", "sizes"],
             )
 
-        for part in rows_by_bytes(batches, "_text"):
+        for part in rows_by_bytes(batches, "_text", SLICE):
             ids = part.column(0).to_pylist()
             for doc, s in zip(ids, shingles(*texts_of(part, "_text")), strict=True):
                 if not len(s):
@@ -186,7 +189,7 @@ def _wanted(shared):
         for batch in batches:
             ids = np.asarray(batch.column(0))
             some = batch.filter(pa.array(may_hold(bitmap, ids.astype("int64"))))
-            for part in rows_by_bytes([some], "_text"):
+            for part in rows_by_bytes([some], "_text", SLICE):
                 sets = shingles(*texts_of(part, "_text"))
                 n = np.array([len(s) for s in sets])
                 lower = [signature(s, b).tobytes() for s, b in zip(sets, bands(n).tolist(), strict=True)]

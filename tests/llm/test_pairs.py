@@ -214,3 +214,14 @@ def test_suffix_dedup_boundary_windows(spark):
     # what is not compared further is known to repeat
     bits = {r["doc_id"]: r["bits"] for r in told if r["window"] is None}
     assert len(bits) == common.sum() - 1 and all(bits.values())
+
+
+def test_sets_are_made_of_small_slices():
+    """The arrays of a slice are many times its text, and each worker of an executor holds them."""
+    import pyarrow as pa
+
+    texts = [f"word{i} " * 60_000 for i in range(8)] + ["one long text " * 100_000, "a b c d e f"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "_text"])
+    found = list(jaccard_join._sets(iter([batch])))
+    assert [b.num_rows for b in found] == [1] * 10
+    assert [n for b in found for n in b.column(1).to_pylist()] == [1] * 8 + [3, 2]
