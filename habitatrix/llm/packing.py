@@ -15,6 +15,9 @@ from habitatrix.llm.tables import materialize, rows_by_bytes, ship, texts_of, wh
 #: Pieces that one packing task takes; a shard wastes a few sequences at most.
 SHARD_PIECES = 60_000
 
+#: Bytes of text that a worker encodes at a time; its arrays are many times as large.
+SLICE = 1 << 19
+
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -23,7 +26,7 @@ def _pieces(model: str, capacity: int, end_id: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = opened(ByteEncoder, model)
-        for part in rows_by_bytes(batches, "_text"):
+        for part in rows_by_bytes(batches, "_text", SLICE):
             rows: list[tuple] = []
             doc_ids = part.column(0).to_pylist()
             encoded = encoder.encode(part.column(1).to_pylist(), *texts_of(part, "_text"))

@@ -449,3 +449,44 @@ def test_batches_of_wide_rows_are_bounded(spark):
     got = wide.mapInArrow(sizes, "n bigint, bytes bigint").collect()
     assert sum(r["n"] for r in got) == 2_000
     assert max(r["bytes"] for r in got) <= 1.1 * tables.BATCH_BYTES
+
+
+def test_counts_of_long_lines_drop_chance_partners_only(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(14)
+    texts = []
+    for n in (250, 256, 300, 500, 1200, 70_000):
+        for edits in (0.0, 0.05, 0.1, 0.2, None):
+            x = "".join(rng.choices(" eanitroshlducmxyzé一", k=n))
+            y = "".join(rng.choices(" eanitz", k=n)) if edits is None else x
+            for _ in range(int((edits or 0) * min(n, 1200))):
+                at = rng.randrange(len(y))
+                y = y[:at] + rng.choice(["", rng.choice("eatz q"), y[at] + rng.choice("eatz q")]) + y[at + 1 :]
+            texts.append((x, y))
+    frame = spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "i int, x string, y string")
+    longest = F.greatest(F.length("x"), F.length("y"))
+    found = frame.select("i", "x", "y", F.levenshtein("x", "y", 130).between(0, F.floor(0.1 * longest + 1e-9)).alias("near"))
+    for end in ("x", "y"):
+        counted = line_dedup._spread(line_dedup._counts(frame.select("i", F.col(end).alias("norm"), F.length(end).alias("size"))))
+        found = found.join(counted.select("i", *[F.col(c).alias(c + end) for c in counted.columns if c != "i"]), "i")
+    found = found.withColumn("may", line_dedup._may_link("x", "y", line_dedup.WHOLE)).select("i", "x", "near", "may").collect()
+    assert all(r.may for r in found if r.near) and sum(r.near for r in found) >= 12
+    assert not any(r.may for r in found if r.i % 5 == 4 and len(r.x) < 70_000)
+
+
+def test_blocks_are_cut_where_lengths_differ(spark):
+    rows = [(1, 7, 100), (2, 7, 109), (3, 7, 118), (4, 7, 200), (5, 7, 190), (6, 7, 400), (7, 8, 100), (8, 8, 50), (9, 9, 30)]
+    frame = spark.createDataFrame([(node, key, sim) for node, key, sim in rows], "node bigint, key bigint, sim int")
+    got = line_dedup._shared_lengths(frame, line_dedup.WHOLE).collect()
+    assert {(r.node, r.leader, r["head"]) for r in got} == {(1, 1, 100), (2, 1, 100), (3, 1, 100), (4, 4, 200), (5, 4, 200)}
+    assert len({r.key for r in got}) == 2
+
+
+def test_line_links_in_slices_are_all_links(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "TEXT_PAIRS", 1)
+    monkeypatch.setattr(line_dedup, "BLOCK_ROWS", 20)
+    lines = ["one two three four five six", "seven eight nine ten eleven twelve"]
+    docs = spark.createDataFrame(list(enumerate([*lines, *[line + "s" for line in lines]])), TEXT)
+    got = {r.doc_id for r in line_dedup.deduplicate(docs, line_dedup.WHOLE).collect() if r.n_removed}
+    assert got == {2, 3}
